@@ -69,11 +69,11 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
         say(n >= 8 and s["upper"] > 0.5, s["upper"] < 0.15),
         say(n >= 8 and s["repeats"] > 0.25, s["repeats"] < 0.08),
         say(n >= 8 and s["pipes"] > 0.15, s["pipes"] < 0.02),
-        say(n >= 40 and s["distinct"] < 0.25, n >= 20 and s["distinct"] > 0.45),
-        say(n >= 20 and s["stops"] < 0.02, n >= 8 and s["stops"] > 0.08),
+        say(n >= 40 and s["distinct"] < 0.25, s["distinct"] > 0.45),
+        say(n >= 40 and s["stops"] < 0.01, s["stops"] > 0.08),
         say(s["mean_length"] > 14 or s["mean_length"] < 2, 3 < s["mean_length"] < 9),
         say(n >= 8 and s["marks"] > 0.8, s["marks"] < 0.2),
-        say(s["same_lines"] > 0.6, False),
+        say(s["same_lines"] > 0.6, s["same_lines"] < 0.3),
     )
 
 
@@ -94,7 +94,7 @@ def unpattern(code: int, n: int = len(LABELLERS)) -> tuple[int, ...]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """prior: share of good documents. rates[class][labeller][vote]: how a labeller votes on a class."""
+    """prior: share of good documents. rates[class][labeller][vote]: how a labeller votes on a class when it votes."""
 
     prior: float
     rates: list
@@ -104,7 +104,8 @@ class LabelModel:
 
         odds = math.log(self.prior) - math.log1p(-self.prior)
         for k, x in enumerate(v):
-            odds += math.log(self.rates[GOOD][k][x]) - math.log(self.rates[BAD][k][x])
+            if x != NONE:
+                odds += math.log(self.rates[GOOD][k][x]) - math.log(self.rates[BAD][k][x])
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, odds))))
 
 
@@ -113,7 +114,7 @@ def fit_labels(counts: dict[int, int], rounds: int = 100) -> LabelModel:
 
     m = len(LABELLERS)
     if not counts:
-        return LabelModel(0.5, [[[1 / 3] * 3] * m] * 2)
+        return LabelModel(0.5, [[[0.5, 0.5]] * m] * 2)
     table = np.array([unpattern(c) for c in counts])
     weight = np.array(list(counts.values()), float)
     bad = (table == BAD).sum(axis=1)
@@ -123,9 +124,9 @@ def fit_labels(counts: dict[int, int], rounds: int = 100) -> LabelModel:
         rates = []
         for belief in (1 - good, good):
             w = weight * belief
-            counts_by = np.array([[(w * (table[:, k] == x)).sum() for x in range(3)] for k in range(m)]) + 0.5
+            counts_by = np.array([[(w * (table[:, k] == x)).sum() for x in (BAD, GOOD)] for k in range(m)]) + 0.5
             rates.append(counts_by / counts_by.sum(axis=1, keepdims=True))
-        odds = np.log(prior / (1 - prior)) + sum(np.log(rates[GOOD][k][table[:, k]] / rates[BAD][k][table[:, k]]) for k in range(m))
+        odds = np.log(prior / (1 - prior)) + sum(np.r_[np.log(rates[GOOD][k] / rates[BAD][k]), 0.0][table[:, k]] for k in range(m))
         new = 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
         if np.abs(new - good).max() < 1e-9:
             break

@@ -25,8 +25,8 @@ STOP_WORDS = frozenset(
     "ist im auf des dem für sich nicht le la les de des et un une que en du est pour dans qui sur au par avec el los las "
     "y por con una para no se lo al".encode().split()
 )
-STATS = ("words", "symbols", "upper", "repeats", "pipes", "distinct", "stops", "mean_length", "marks", "same_lines")
-LABELLERS = ("symbols", "upper", "repeats", "pipes", "distinct", "stops", "mean_length", "marks", "same_lines")
+STATS = ("words", "symbols", "upper", "repeats", "pipes", "distinct", "stops", "mean_length", "marks", "same_lines", "noise")
+LABELLERS = ("symbols", "upper", "repeats", "pipes", "distinct", "stops", "mean_length", "marks", "same_lines", "noise")
 
 
 def _classes() -> np.ndarray:
@@ -52,6 +52,7 @@ def statistics(raw: bytes) -> dict[str, float]:
         "words": n, "symbols": kinds[3] / n, "upper": kinds[2] / max(1, kinds[1] + kinds[2]), "repeats": sum(map(bytes.__eq__, words, words[1:])) / n,
         "pipes": kinds[5] / n, "distinct": len(set(words)) / n, "stops": sum(map(STOP_WORDS.__contains__, words)) / n,
         "mean_length": sum(map(len, words)) / n, "marks": kinds[4] / n, "same_lines": 1 - len(set(lines)) / len(lines),
+        "noise": (kinds[3] + kinds[4] + kinds[5]) / n,
     }
 
 
@@ -74,6 +75,7 @@ def votes(s: dict[str, float]) -> tuple[int, ...]:
         say(s["mean_length"] > 14 or s["mean_length"] < 2, 3 < s["mean_length"] < 9),
         say(n >= 8 and s["marks"] > 0.8, s["marks"] < 0.2),
         say(s["same_lines"] > 0.6, s["same_lines"] < 0.3),
+        say(n >= 5 and s["noise"] > 0.3, s["noise"] < 0.1),
     )
 
 

@@ -3,7 +3,7 @@
 A match is a window of ``width`` bytes. Each window is dealt by its minimizer (the least hash of the short grams
 inside it), which depends on its bytes alone, so equal windows meet wherever they are. Neighbouring windows with one
 minimizer travel together as one strip of text, equal strips as one strip with a count, and strips whose minimizer
-occurs once are left out: what is shuffled is a few numbers per strip and the bytes of the strips that may match.
+occurs nowhere else are left out: what is shuffled is a few numbers per strip and the bytes of the strips that may match.
 
 A task keeps a logarithmic family of suffix arrays over its strips: every new batch gets a suffix array of its window
 starts, is merge-scanned against the levels there are, and levels of equal size are merged, so sizes grow
@@ -30,10 +30,10 @@ _BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64, endpoint=Fa
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes (a power of two) from every position."""
-    h, size, factor = _BYTES[data], 1, _M1
+    h, size, factor = _BYTES[data], 1, int(_M1)
     while size < gram:
-        h = h[:-size] * factor + h[size:]
-        factor = factor * factor | np.uint64(1)
+        h = h[:-size] * np.uint64(factor) + h[size:]
+        factor = factor * factor % 2**64 | 1
         size *= 2
     h *= _M2
     h ^= h >> np.uint64(32)
@@ -53,14 +53,18 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def strips(raw: list[bytes], width: int, gram: int, longest: int):
-    """(text, minimizer, first window, windows, digest) arrays of all strips of some texts."""
+    """(text, minimizer, first window, windows, digest, inner) arrays of all strips of some texts.
+
+    inner says that the minimizer occurs several times in the strip, so the strip's own windows may be equal.
+    """
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     ends = np.cumsum(sizes)
     counts = np.maximum(sizes - width + 1, 0)
     if not counts.any():
         return None
-    least = window_minima(gram_hashes(data, gram), width - gram + 1)
+    grams = gram_hashes(data, gram)
+    least = window_minima(grams, width - gram + 1)
     owner = np.repeat(np.arange(len(raw)), counts)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     m = least[(ends - sizes)[owner] + offset]
@@ -77,7 +81,9 @@ def strips(raw: list[bytes], width: int, gram: int, longest: int):
     begin = (ends - sizes)[text] + start
     digest = xxhash.xxh3_128_digest
     both = np.frombuffer(b"".join([digest(view[a : a + n]) for a, n in zip(begin.tolist(), (length + width - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
-    return text, m[first].view(np.int64), start, length, both
+    count, span, value = np.count_nonzero, width - gram, m[first]
+    inner = np.array([count(grams[a : a + n + span] == v) > 1 for a, n, v in zip(begin.tolist(), length.tolist(), value, strict=True)])
+    return text, value.view(np.int64), start, length, both, inner
 
 
 class SuffixFamily:
@@ -222,15 +228,15 @@ def repeated_spans(
             for start, stop in slices(batch, 2, 1 << 20):
                 found = strips(text.slice(start, stop - start).to_pylist(), width, gram, longest)
                 if found is not None:
-                    at, h, first, n, both = found
+                    at, h, first, n, both, inner = found
                     rows = pa.array(at + start)
-                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "h", "d1", "d2", "s", "n"])
+                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(inner)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "h", "d1", "d2", "s", "n", "inner"])
 
-    all_strips = cut(docs.select("doc_id", "th", "text").mapInArrow(cut_strips, "doc_id long, th long, h long, d1 long, d2 long, s int, n int"))
-    texts = all_strips.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "s", "n")).alias("at"))
+    all_strips = cut(docs.select("doc_id", "th", "text").mapInArrow(cut_strips, "doc_id long, th long, h long, d1 long, d2 long, s int, n int, inner boolean"))
+    texts = all_strips.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "s", "n", "inner")).alias("at"))
     texts = texts.select("h", "d1", "d2", "c", "at.*")
-    per = texts.groupBy("h").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("windows")).where("total > 1")
+    per = texts.groupBy("h").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("windows"), F.bool_or("inner").alias("inner")).where("total > 1 or inner")
     wide = (F.col("k") > most_strips) | (F.col("windows") > most_windows)
     chosen = texts.join(per.select("h", wide.alias("wide")), "h")
     pieces = docs.select("doc_id", "th", F.col("text").cast("binary").alias("raw")).join(chosen, ["doc_id", "th"])

@@ -8,6 +8,7 @@ from ._common import table
 from .byte_bpe import round_trip
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .license_scan import digest_licenses, scan_licenses
 from .quality_model import fit_quality, score_quality
 from .secret_scan import digest_secrets, scan_secrets
 from .simhash_dedup import simhash_dedup
@@ -28,6 +29,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_licenses(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model]
+    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from wattloom.plans.models import MODELS
+from wattloom.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "daily_deficit_mean"
 
 
 def queries() -> dict:
-    return {}
+    return QUERIES | MODELS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

@@ -294,10 +294,10 @@ def evaluate_mae_long(spark, d) -> DataFrame:
     return rounded(_evaluated(spark, d), 8)
 
 
-_MEAN_SCORES = _EVAL + ", S AS (" + " UNION ALL ".join(f"SELECT 'mae' AS metric, '{m}' AS model, avg({m}) AS score, {i} AS o FROM EV" for i, m in enumerate(FC.MODELS)) + ")"
+_MEAN_SCORES = _EVAL + ", SC AS (" + " UNION ALL ".join(f"SELECT 'mae' AS metric, '{m}' AS model, avg({m}) AS score, {i} AS o FROM EV" for i, m in enumerate(FC.MODELS)) + ")"
 
 
-@query(f"WITH {_MEAN_SCORES} SELECT metric, model, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY score, o) AS INTEGER) AS place FROM S")
+@query(f"WITH {_MEAN_SCORES} SELECT metric, model, round(score, 8) AS score, CAST(row_number() OVER (ORDER BY score, o) AS INTEGER) AS place FROM SC")
 def rank_models_by_mae(spark, d) -> DataFrame:
     return rounded(rank_models(mean_by_metric(_evaluated(spark, d), FC.MODELS), FC.MODELS), 8)
 

@@ -39,31 +39,43 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
     return found.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))).select("skey", "source", "source_size", "weight", "target")
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of ``value``, which is made once: inside a lambda function a name stands for a value, not for its expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def sainte_lague(parties: Column, seats: Column) -> Column:
     """array<struct<id, quota>>: ``seats`` given to ``parties`` (array<struct<id, weight double, cap long>>) by highest quotients.
 
     Two divisors bracket the right one: all seats above the first are given at once, and only those between the two
     (a few for each party) are compared. Ties go to the smaller id. A party gets ``cap`` seats at most.
     """
+
+    def bracket(s):
+        def between(p):
+            # seats of this party that the larger and the smaller divisor give, one more on either side for rounding
+            low = F.when(s["seats"] > s["half"], F.floor(p["weight"] * (s["seats"] - s["half"]) / s["total"] + 0.5) - 1).otherwise(F.lit(0))
+            high = F.floor(p["weight"] * (s["seats"] + s["half"]) / s["total"] + 0.5) + 1
+            sure = F.least(F.greatest(low, F.lit(0)), p["cap"]).cast("long")
+            most = F.when(p["weight"] > 0, F.least(F.greatest(high, F.lit(0)), p["cap"])).otherwise(F.lit(0)).cast("long")
+            return F.struct(p["id"].alias("id"), p["weight"].alias("weight"), sure.alias("sure"), F.greatest(sure, most).alias("most"))
+
+        return _bound(F.struct(F.transform(s["p"], between).alias("known"), s["seats"].alias("seats")), contest)
+
+    def contest(k):
+        none = F.array().cast("array<struct<q:double,id:bigint>>")
+        quotients = lambda p: F.transform(F.sequence(p["sure"], p["most"] - 1), lambda n: F.struct((-p["weight"] / (2 * n + 1)).alias("q"), p["id"].alias("id")))
+        open_seats = F.flatten(F.transform(k["known"], lambda p: F.when(p["most"] > p["sure"], quotients(p)).otherwise(none)))
+        rest = F.greatest(k["seats"] - F.aggregate(k["known"], F.lit(0).cast("long"), lambda a, p: a + p["sure"]), F.lit(0)).cast("int")
+        won = F.transform(F.slice(F.array_sort(open_seats), F.lit(1), rest), lambda s: s["id"])
+        return _bound(F.struct(k["known"].alias("known"), won.alias("won")), award)
+
+    def award(w):
+        return F.transform(w["known"], lambda p: F.struct(p["id"].alias("id"), (p["sure"] + F.size(F.filter(w["won"], lambda x: x == p["id"]))).alias("quota")))
+
     total = F.greatest(F.aggregate(parties, F.lit(0.0), lambda a, p: a + p["weight"]), F.lit(1e-300))
     half = F.size(F.filter(parties, lambda p: p["weight"] > 0)) / F.lit(2.0)
-
-    def between(p):
-        # seats of this party that the larger and the smaller divisor give, one more on either side for rounding
-        low = F.when(seats > half, F.floor(p["weight"] * (seats - half) / total + 0.5) - 1).otherwise(F.lit(0))
-        high = F.floor(p["weight"] * (seats + half) / total + 0.5) + 1
-        sure = F.least(F.greatest(low, F.lit(0)), p["cap"]).cast("long")
-        most = F.when(p["weight"] > 0, F.least(F.greatest(high, sure), p["cap"])).otherwise(sure).cast("long")
-        return F.struct(p["id"].alias("id"), p["weight"].alias("weight"), sure.alias("sure"), most.alias("most"))
-
-    known = F.transform(parties, between)
-    open_seats = F.flatten(F.transform(known, lambda p: F.when(
-        p["most"] > p["sure"],
-        F.transform(F.sequence(p["sure"], p["most"] - 1), lambda k: F.struct((-p["weight"] / (2 * k + 1)).alias("q"), p["id"].alias("id"))),
-    ).otherwise(F.array().cast("array<struct<q:double,id:bigint>>"))))
-    rest = F.greatest(seats - F.aggregate(known, F.lit(0).cast("long"), lambda a, p: a + p["sure"]), F.lit(0)).cast("int")
-    won = F.transform(F.slice(F.array_sort(open_seats), F.lit(1), rest), lambda s: s["id"])
-    return F.transform(known, lambda p: F.struct(p["id"].alias("id"), (p["sure"] + F.size(F.filter(won, lambda w: w == p["id"]))).alias("quota")))
+    return _bound(F.struct(parties.alias("p"), total.alias("total"), half.alias("half"), seats.alias("seats")), bracket)
 
 
 def mix_sources(

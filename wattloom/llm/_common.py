@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 import numpy as np
@@ -19,13 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` eagerly in the folder that the cluster shares (spark.checkpoint.dir)."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Checkpoint ``df`` eagerly in the folder that the cluster shares (spark.checkpoint.dir).
+
+    With ``release`` the driver is asked to collect its garbage, on which Spark deletes the shuffle files of steps that
+    nothing refers to any more; else these stay on the executors' disks until the driver happens to.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wattloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if release:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def n_words(text: Column | str) -> Column:

@@ -8,8 +8,8 @@ occurs nowhere else are left out: what is shuffled is a few numbers per strip an
 A task keeps a logarithmic family of suffix arrays over its strips: every new batch gets a suffix array of its window
 starts, is merge-scanned against the levels there are, and levels of equal size are merged, so sizes grow
 geometrically. Strips come sorted by minimizer, and levels of minimizers that are done are dropped. A minimizer with
-more strips than a task should hold goes another exact way: its windows are counted by their digests, with map-side
-combine.
+more strips than a task should hold goes another exact way: its strips are cut again by the minimizers of longer grams,
+and what is still too much is counted window by window by digests, with map-side combine.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +54,9 @@ def window_minima(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def strips(raw: list[bytes], width: int, gram: int, longest: int):
-    """(text, minimizer, first window, windows, digest, inner) arrays of all strips of some texts.
+    """(text, minimizer, digest, first window, windows, inner) arrays of all strips of some texts.
 
-    inner says that the minimizer occurs several times in the strip, so the strip's own windows may be equal.
+    The digest tells strips of one minimizer apart; inner says that the minimizer occurs several times in the strip, so the strip's own windows may be equal.
     """
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -79,11 +80,11 @@ def strips(raw: list[bytes], width: int, gram: int, longest: int):
     text, start = owner[first], offset[first]
     view = memoryview(data)
     begin = (ends - sizes)[text] + start
-    digest = xxhash.xxh3_128_digest
-    both = np.frombuffer(b"".join([digest(view[a : a + n]) for a, n in zip(begin.tolist(), (length + width - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
+    digest = xxhash.xxh3_64_intdigest
+    sums = np.array([digest(view[a : a + n]) for a, n in zip(begin.tolist(), (length + width - 1).tolist(), strict=True)], np.uint64)
     count, span, value = np.count_nonzero, width - gram, m[first]
     inner = np.array([count(grams[a : a + n + span] == v) > 1 for a, n, v in zip(begin.tolist(), length.tolist(), value, strict=True)])
-    return text, value.view(np.int64), start, length, both, inner
+    return text, value.view(np.int64), sums.view(np.int64), start, length, inner
 
 
 class SuffixFamily:
@@ -127,22 +128,28 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-_FOUND = "h long, d1 long, d2 long, begin array<int>, stop array<int>"
+_FOUND = "h long, d long, begin array<int>, stop array<int>"
+#: A strip's place in its text, its number of windows and whether it may repeat inside, in one number.
+_PLACE, _COUNT, _INNER = "at div 4096", "at div 2 % 2048", "at % 2 = 1"
 
 
 def _index(width: int, batch_windows: int, hold: int):
-    """Task over strips (h, d1, d2, c, n, piece) sorted by h: ranges of windows that occur elsewhere."""
+    """Task over strips (h, d, c, n, piece, wide) sorted by wide and h: ranges of windows that occur elsewhere.
+
+    Wide strips pass through with their bytes.
+    """
+    names = ["h", "d", "begin", "stop", "c", "piece"]
 
     def run(batches):
         held, waiting = [], 0  # strips of the batch to come
-        live: list = []  # strips whose windows are in the family: [h, d1, d2, n, flags]
+        live: list = []  # strips whose windows are in the family: [h, d, flags]
         offsets = [0]
 
         def mark(refs):
             if len(refs):
                 which = np.searchsorted(bounds, refs, side="right") - 1
                 for k in np.unique(which):
-                    live[k][4][refs[which == k] - bounds[k]] = True
+                    live[k][2][refs[which == k] - bounds[k]] = True
 
         family, bounds = SuffixFamily(width, mark), np.zeros(0, np.int64)
 
@@ -150,13 +157,13 @@ def _index(width: int, batch_windows: int, hold: int):
             nonlocal held, waiting, bounds
             if not held:
                 return
-            data = b"".join(x[5] for x in held)
-            sizes = np.array([len(x[5]) for x in held], np.int64)
-            n = np.array([x[4] for x in held], np.int64)
+            data = b"".join(x[4] for x in held)
+            sizes = np.array([len(x[4]) for x in held], np.int64)
+            n = np.array([x[3] for x in held], np.int64)
             base = offsets[-1]
             for x in held:
-                live.append([x[0], x[1], x[2], x[4], np.full(x[4], x[3] > 1)])
-                offsets.append(offsets[-1] + x[4])
+                live.append([x[0], x[1], np.full(x[3], x[2] > 1)])
+                offsets.append(offsets[-1] + x[3])
             bounds = np.array(offsets[:-1], np.int64)
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             family.add(data, np.repeat(np.cumsum(sizes) - sizes, n) + inside, base + np.arange(n.sum()))
@@ -164,25 +171,29 @@ def _index(width: int, batch_windows: int, hold: int):
 
         def drain():
             nonlocal live, offsets, family
-            out = [[], [], [], [], []]
-            for h, d1, d2, _, flags in live:
+            out = [[], [], [], []]
+            for h, d, flags in live:
                 if flags.any():
                     a, b = _ranges(flags)
-                    for column, value in zip(out, (h, d1, d2, a, b), strict=True):
+                    for column, value in zip(out, (h, d, a, b), strict=True):
                         column.append(value)
             live, offsets = [], [0]
             family = SuffixFamily(width, mark)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.list_(pa.int32())) for c in out[3:])], names=["h", "d1", "d2", "begin", "stop"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:2]), *(pa.array(c, pa.list_(pa.int32())) for c in out[2:]), pa.nulls(len(out[0]), pa.int64()), pa.nulls(len(out[0]), pa.binary())], names=names)
 
         last = None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            passing = batch.filter(batch.column(5))
+            if passing.num_rows:
+                none = pa.nulls(passing.num_rows, pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([passing.column(0), passing.column(1), none, none, passing.column(2), passing.column(4)], names=names)
+            for row in zip(*(c.to_pylist() for c in batch.filter(pc.invert(batch.column(5))).columns), strict=True):
                 if row[0] != last and len(family) + waiting >= hold:  # no earlier minimizer comes again
                     push()
                     yield from drain()
                 held.append(row)
-                waiting += row[4]
+                waiting += row[3]
                 last = row[0]
                 if waiting >= batch_windows:
                     push()
@@ -193,61 +204,90 @@ def _index(width: int, batch_windows: int, hold: int):
 
 
 def _windows(width: int):
-    """Task over strips: one row per window with its digest."""
+    """Task over strips (h, d, c, piece): one row per window with its digest."""
 
     def run(batches):
         for batch in batches:
-            for h, d1, d2, c, n, piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                view = memoryview(piece)
+            for h, d, c, piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                view, n = memoryview(piece), len(piece) - width + 1
                 both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i : i + width]) for i in range(n)]), "<i8").reshape(-1, 2)
-                fixed = [pa.array(np.full(n, v), pa.int64()) for v in (h, d1, d2, c)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(n), pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["h", "d1", "d2", "c", "i", "w1", "w2"])
+                fixed = [pa.array(np.full(n, v), pa.int64()) for v in (h, d, c)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(n), pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["h", "d", "c", "i", "w1", "w2"])
 
     return run
 
 
 def _join_ranges(batches):
     for batch in batches:
-        h, d1, d2 = batch.columns[:3]
-        found = [_ranges(np.bincount(np.asarray(i), minlength=1) > 0) for i in batch.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([h, d1, d2, *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], names=["h", "d1", "d2", "begin", "stop"])
+        found = [_ranges(np.bincount(np.asarray(i), minlength=1) > 0) for i in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], names=["h", "d", "begin", "stop"])
+
+
+def _apart(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with its key under another name and mixed, so that a join gives it an exchange of its own and a hot key can be split."""
+    return df.withColumn("__k", F.col(key).bitwiseXOR(F.lit(1))).drop(key)
+
+
+def _on(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("__k", F.col(key).bitwiseXOR(F.lit(1))).join(_apart(other, key), "__k").drop("__k")
+
+
+def _by_digest(wide: DataFrame, width: int) -> DataFrame:
+    """(h, d, begin, stop) of strips whose windows are counted one by one."""
+    windows = wide.select("h", "d", "c", "piece").mapInArrow(_windows(width), "h long, d long, c long, i int, w1 long, w2 long")
+    again = windows.groupBy("w1", "w2").agg(F.sum("c").alias("total")).where("total > 1").select(F.col("w1").alias("v1"), "w2")
+    again = again.withColumn("w2", F.col("w2").bitwiseXOR(F.lit(1))).toDF("v1", "v2")
+    hits = windows.join(again, (F.col("w1") == F.col("v1")) & (F.col("w2").bitwiseXOR(F.lit(1)) == F.col("v2")))
+    return hits.groupBy("h", "d").agg(F.collect_list("i").alias("i")).mapInArrow(_join_ranges, _FOUND)
 
 
 def repeated_spans(
-    docs: DataFrame, width: int = 400, gram: int = 32, longest: int = 1024, batch_windows: int = 1 << 14, hold: int = 1 << 16, most_strips: int = 256, most_windows: int = 1 << 16
+    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256), longest: int = 1024, batch_windows: int = 1 << 14, hold: int = 1 << 16, most_strips: int = 256, most_windows: int = 1 << 16
 ) -> DataFrame:
-    """(doc_id, th, begin, stop): byte ranges of windows that occur elsewhere, overlapping as they come.
+    """(doc_id, th, begin, stop): byte ranges covered by windows that occur elsewhere, overlapping as they come.
 
-    ``docs`` has doc_id (NO_ID for null), th (a hash of the text) and text. ``gram`` is a power of two below
-    ``width``. A minimizer with more than ``most_strips`` strips or ``most_windows`` windows is settled by digests.
+    ``rows`` has doc_id, th (together the key of a text), text (binary) and c (how often the text occurs). ``grams``
+    are powers of two up to ``width``. A minimizer with more than ``most_strips`` strips or ``most_windows`` windows is
+    left to the next gram, which tells strips apart by more bytes, and after the last to digests of single windows.
     """
+    gram, finer = grams[0], grams[1:]
 
     def cut_strips(batches):
         for batch in batches:
-            text = batch.column(2).cast(pa.binary())
-            for start, stop in slices(batch, 2, 1 << 20):
-                found = strips(text.slice(start, stop - start).to_pylist(), width, gram, longest)
+            for start, stop in slices(batch, 3, 1 << 20):
+                found = strips(batch.column(3).slice(start, stop - start).to_pylist(), width, gram, longest)
                 if found is not None:
-                    at, h, first, n, both, inner = found
-                    rows = pa.array(at + start)
-                    columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(h), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(inner)]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "h", "d1", "d2", "s", "n", "inner"])
-
-    all_strips = cut(docs.select("doc_id", "th", "text").mapInArrow(cut_strips, "doc_id long, th long, h long, d1 long, d2 long, s int, n int, inner boolean"))
-    texts = all_strips.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "s", "n", "inner")).alias("at"))
-    texts = texts.select("h", "d1", "d2", "c", "at.*")
-    per = texts.groupBy("h").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("windows"), F.bool_or("inner").alias("inner")).where("total > 1 or inner")
+                    owner, h, d, first, n, inner = found
+                    kept = [batch.column(k).take(pa.array(owner + start)) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(h), pa.array(d), pa.array(first * 4096 + n * 2 + inner)], names=["doc_id", "th", "c", "h", "d", "at"])
+
+    # Strips whose minimizer comes once and not twice in the strip cannot match; the others are kept, a few numbers each.
+    all_strips = cut(rows.select("doc_id", "th", "c", "text").mapInArrow(cut_strips, "doc_id long, th long, c int, h long, d long, at long"))
+    often = all_strips.groupBy("h").agg(F.sum("c").alias("total"), F.bool_or(F.expr(_INNER)).alias("inner")).where("total > 1 or inner").select("h")
+    places = cut(_on(all_strips, often, "h"), release=True)
+    del all_strips, often
+
+    texts = places.groupBy("h", "d").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "th", "at")).alias("x")).select("h", "d", "c", "x.*")
+    texts = cut(texts.select("h", "d", "c", "doc_id", "th", F.expr(_PLACE).cast("int").alias("s"), F.expr(_COUNT).cast("int").alias("n")))
+    per = texts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("windows"))
     wide = (F.col("k") > most_strips) | (F.col("windows") > most_windows)
-    chosen = texts.join(per.select("h", wide.alias("wide")), "h")
-    pieces = docs.select("doc_id", "th", F.col("text").cast("binary").alias("raw")).join(chosen, ["doc_id", "th"])
-    pieces = cut(pieces.select("h", "d1", "d2", "c", "n", F.expr(f"substring(raw, s + 1, n + {width - 1})").alias("piece"), "wide").dropDuplicates(["h", "d1", "d2"]))
-    strip = ["h", "d1", "d2", "c", "n", "piece"]
-    narrow = pieces.where("not wide").select(*strip).repartition("h").sortWithinPartitions("h").mapInArrow(_index(width, batch_windows, hold), _FOUND)
-    windows = pieces.where("wide").select(*strip).mapInArrow(_windows(width), "h long, d1 long, d2 long, c long, i int, w1 long, w2 long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("c").alias("total")).where("total > 1").select("w1", "w2")
-    by_strip = windows.join(again, ["w1", "w2"]).groupBy("h", "d1", "d2").agg(F.collect_list("i").alias("i"))
-    found = cut(narrow.unionByName(by_strip.mapInArrow(_join_ranges, _FOUND)))
-    spread = all_strips.join(found, ["h", "d1", "d2"]).select("doc_id", "th", "s", F.explode(F.arrays_zip("begin", "stop")).alias("x"))
+    chosen = _on(texts, per.select("h", wide.alias("wide")), "h")
+    pieces = rows.select("doc_id", "th", F.col("text").alias("raw")).join(chosen, ["doc_id", "th"])
+    pieces = pieces.select("h", "d", "c", "n", F.expr(f"substring(raw, s + 1, n + {width - 1})").alias("piece"), "wide")
+    dealt = pieces.repartition(F.when(F.col("wide"), F.col("d")).otherwise(F.col("h"))).sortWithinPartitions("wide", "h")
+    out = cut(dealt.mapInArrow(_index(width, batch_windows, hold), f"{_FOUND}, c long, piece binary"), release=True)
+    del dealt, pieces, chosen
+    found, rest = out.where("piece is null").select("h", "d", "begin", "stop"), out.where("piece is not null").select("h", "d", "c", "piece")
+    if not rest.isEmpty():
+        if finer:
+            below = rest.select(F.col("h").alias("doc_id"), F.col("d").alias("th"), F.col("piece").alias("text"), F.least("c", F.lit(2)).cast("int").alias("c"))
+            inner = repeated_spans(below, width, finer, longest, batch_windows, hold, most_strips, most_windows)
+            more = inner.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", (F.col("stop") - (width - 1)).alias("stop"))).alias("x"))
+            ints = lambda name: F.transform("x", lambda r: r[name].cast("int"))
+            found = found.unionByName(more.select(F.col("doc_id").alias("h"), F.col("th").alias("d"), ints("begin").alias("begin"), ints("stop").alias("stop")))
+        else:
+            found = found.unionByName(_by_digest(rest, width))
+    spread = places.join(found, ["h", "d"]).select("doc_id", "th", F.expr(_PLACE).alias("s"), F.explode(F.arrays_zip("begin", "stop")).alias("x"))
     return spread.select("doc_id", "th", (F.col("s") + F.col("x.begin")).alias("begin"), (F.col("s") + F.col("x.stop") + (width - 1)).alias("stop"))
 
 
@@ -261,7 +301,8 @@ def remove_repeats(docs: DataFrame, width: int = 400, with_text: bool = True, **
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    spans = repeated_spans(rows, width, **settings).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
+    texts = rows.select("doc_id", "th", F.lit(1).alias("c"), F.col("text").cast("binary").alias("text"))
+    spans = repeated_spans(texts, width, **settings).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
 
     def run(batches):
         for batch in batches:

@@ -89,10 +89,11 @@ class PatriciaTrie:
             if child is None:
                 leaf = _Node(key[at:], self._new(term))
                 node.children[key[at]] = leaf
+                found = leaf.term
                 self.bytes += len(leaf.label) + 200
                 if self.bytes > self.memory:
-                    self._spill()
-                return leaf.term
+                    self._spill()  # perhaps the leaf itself
+                return found
             if key.startswith(child.label, at):
                 at += len(child.label)
                 if isinstance(child.children, _Spill):

@@ -12,6 +12,7 @@ shards is bounded, and the hot source's documents are spread over its shards.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -130,5 +131,7 @@ def mix_sources(
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as taken / size rounds to (half goes up), 0 drops it."""
-    times = mixed.where("size > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
-    return docs.join(times.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id")).withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    key, times, n = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "times", "n"))  # no column of docs has these names
+    taken = mixed.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times)).where(F.col(times) > 0)
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key)))
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])

@@ -11,6 +11,7 @@ comparison.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -69,8 +70,9 @@ def grams(w: Column) -> Column:
     return F.array_distinct(F.concat(w, pairs))
 
 
-def _literal(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def _literal(values, kind: str = "array<string>") -> Column:
+    """A constant of any size as one expression, which Spark folds into a literal."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 @dataclass(frozen=True)
@@ -93,17 +95,17 @@ class LicenseModel:
 
     def _best(self, g: Column) -> Column:
         """struct<probability, family> of the most probable class for the grams ``g``."""
-        table = F.array(*[_literal(map(float, row)) for row in self.weights])
+        table = _literal(self.weights, "array<array<double>>")
         known = F.array_intersect(g, _literal(self.vocabulary))
         rows = F.transform(known, lambda x: F.element_at(table, F.array_position(_literal(self.vocabulary), x).cast("int")))
-        scores = F.aggregate(rows, _literal(map(float, self.bias)), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
+        scores = F.aggregate(rows, _literal(self.bias, "array<double>"), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
         exps = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
         shares = F.transform(exps, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
         return F.transform(shares, lambda p: F.struct(F.array_max(p).alias("probability"), F.element_at(_literal(self.families), F.array_position(p, F.array_max(p)).cast("int")).alias("family")))[0]
 
     def _similarity(self, g: Column, family: Column) -> Column:
         """Largest share of a template's grams, or of the paragraph's grams if it is the shorter, that both have."""
-        own = F.array(*[F.struct(F.lit(f).alias("family"), _literal(_grams(t)).alias("g")) for f, t in self.templates])
+        own = _literal([{"family": f, "g": _grams(t)} for f, t in self.templates], "array<struct<family:string,g:array<string>>>")
         shared = lambda t: F.size(F.array_intersect(t["g"], g)) / F.greatest(F.lit(1), F.least(F.size(t["g"]), F.greatest(F.size(g), F.lit(5))))
         return F.coalesce(F.array_max(F.transform(F.filter(own, lambda t: t["family"] == family), shared)), F.lit(0.0))
 

@@ -244,7 +244,8 @@ def quality_filter(docs: DataFrame, model: QualityModel | None = None, threshold
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
     model = model or fit_quality(docs)
 
-    def good(texts):
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
 
         w, bias = np.array(model.weights[:-1], np.float32), model.weights[-1]
         out = []
@@ -254,4 +255,4 @@ def quality_filter(docs: DataFrame, model: QualityModel | None = None, threshold
             out.append(bool(s["words"]) and float(1 / (1 + np.exp(-np.clip(features(raw, s, model.dims) @ w + bias, -30, 30)))) >= threshold)
         return pd.Series(out, dtype="bool")
 
-    return docs.where(F.pandas_udf(good, "boolean", F.PandasUDFType.SCALAR)(F.col("text").cast("string")))
+    return docs.where(good(F.col("text").cast("string")))

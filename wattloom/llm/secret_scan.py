@@ -112,7 +112,7 @@ def false_discovery(ps: list[float], lengths: list[int], level: float) -> list[b
     return [i in found for i in range(m)]
 
 
-def find_secrets(text: str, level: float = 1e-3, least_uniform: float = 1e-3) -> list[tuple[str, int, int]]:
+def find_secrets(text: str, level: float = 1e-3, least_uniform: float = 1e-2) -> list[tuple[str, int, int]]:
     """(kind, start, end) of every span by start, then kind; offsets in code points, end exclusive."""
     spans = []
     if ":" in text or "=" in text:

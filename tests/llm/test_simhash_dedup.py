@@ -70,7 +70,7 @@ def test_links_join_what_is_close(spark, n_blocks, run_limit):
 def test_runs_go_on_over_batches():
     import pyarrow as pa
 
-    fps = np.array([1, 3, 7, 1 << 40, 5, 9], np.int64)
+    fps = np.array([1, 3, 7, 7 << 40, 5, 9], np.int64)
     batch = lambda a, b: pa.RecordBatch.from_arrays([pa.array(x[a:b], pa.int64()) for x in (np.ones(6, np.int64), np.array([0, 0, 0, 0, 0, 2]), fps, np.arange(6))], names=["mask", "key", "fp", "node"])
     for cuts in ([(0, 6)], [(0, 1), (1, 3), (3, 6)], [(k, k + 1) for k in range(6)]):
         found = set()

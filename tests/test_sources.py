@@ -45,7 +45,7 @@ def test_store_round_trip(spark, tmp_path):
 def test_chunked_source(spark):
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
-            ok = "2024-05" not in self.path
+            ok = "a=2024-05" not in self.path
             self.send_response(200 if ok else 500)
             self.end_headers()
             self.wfile.write(b'{"x": 1}' if ok else b"")

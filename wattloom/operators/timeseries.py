@@ -105,8 +105,8 @@ def seasonal_decompose(df: DataFrame, value: str, period: int = 24, ts: str = TI
 
 def date_chunks(spark: SparkSession, start: str, end: str, days: int = 180) -> DataFrame:
     """(chunk_start, chunk_end): steps of ``days`` days from ``start``; the last one ends at ``end``."""
-    steps = spark.range(1).select(F.expr(f"timestamp_ntz'{start}'").alias("a"), F.expr(f"timestamp_ntz'{end}'").alias("b")).where("a < b")
-    starts = steps.select("b", F.explode(F.expr(f"sequence(a, b - interval 1 microsecond, interval {days} day)")).alias("chunk_start"))
+    steps = spark.range(1).select(F.expr(f"timestamp_ntz'{start}'").alias("a"), F.expr(f"timestamp_ntz'{end}'").alias("b"))
+    starts = steps.select("b", F.explode(F.expr(f"if(a < b, sequence(a, greatest(a, b - interval 1 microsecond), interval {days} day), array())")).alias("chunk_start"))
     return starts.select("chunk_start", F.least(F.expr(f"chunk_start + interval {days} day"), F.col("b")).alias("chunk_end"))
 
 

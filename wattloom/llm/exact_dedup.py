@@ -241,9 +241,9 @@ def _merge(smallest: bool, memory: int):
         for row, term in trie.settle():
             terms[row] = term
         pdf = pdf.assign(term=terms)
-        ids = pdf["owner"].where(pdf["owner"] != NO_ID)
+        ids = pdf["owner"].astype("Int64").where(pdf["owner"] != NO_ID)  # whole numbers stay exact
         grouped = ids.groupby(pdf["term"])
-        keep = (grouped.transform("min") if smallest else grouped.transform("max")).astype("Int64").fillna(NO_ID)
+        keep = (grouped.transform("min") if smallest else grouped.transform("max")).fillna(NO_ID)
         return pd.DataFrame({
             "m_owner": pdf["owner"], "m_sha": pdf["text_sha256"], "keep": keep.astype("int64"),
             "total": pdf.groupby("term")["group_size"].transform("sum"),

@@ -5,7 +5,8 @@ import pytest
 
 from wattloom.llm import quality_model as Q
 
-FOLDER = "/root/testdata/sf0.01"
+#: The thresholds were set while looking at smaller tables, so those would not be held out.
+FOLDER = "/root/testdata/sf0.1"
 
 
 def test_labels_come_from_counts():
@@ -44,7 +45,6 @@ def test_keeps_clean_and_rejects_junk(spark):
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
-    got = Q.score_quality(docs, Q.fit_quality(docs)).join(labels, "doc_id").groupBy("quality").agg({"*": "count", "kept": "max"})
     rows = Q.score_quality(docs, Q.fit_quality(docs)).join(labels, "doc_id").selectExpr("quality", "int(kept) as k").groupBy("quality").avg("k").collect()
     kept = {r["quality"]: r["avg(k)"] for r in rows}
-    assert kept[1] >= 0.99 and kept[0] <= 0.05 and got.count() == 2
+    assert kept[1] >= 0.99 and kept[0] <= 0.05

@@ -38,7 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: taken / size, rounded; rows that round to 0 go."""
+    """Documents as often as the mix takes them: taken / size, rounded along streams of a source; rows with no copy go."""
     return apply_mix(docs, cut(mix_sources(docs)))
 
 

@@ -71,3 +71,14 @@ def test_mix_takes_effect(spark):
     mixed = spark.createDataFrame([(1, 10, 20), (2, 10, 4), (None, 10, 10)], "doc_id long, size long, taken long")
     got = apply_mix(df, mixed)
     assert got.columns == df.columns and sorted((r["text"] for r in got.collect())) == ["a", "a", "c"]
+
+
+def test_copies_come_near_the_targets(spark):
+    rng = random.Random(8)
+    sizes = [rng.randrange(100, 400) for _ in range(300)]
+    df = spark.createDataFrame([(1000 * k + i, "w " * n, s) for k, s in enumerate("abc") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    mixed = mix_sources(df, (0.4, 0.6, 1.4), share=0.8).cache()
+    got = {r["source"]: r["n"] for r in apply_mix(df, mixed).groupBy("source").agg(F.sum(F.length("text") / 2).alias("n")).collect()}
+    for source, ratio in (("a", 0.4), ("b", 0.6), ("c", 1.4)):
+        assert got[source] == pytest.approx(ratio * sum(sizes), abs=400)  # a row
+    assert {r["copies"] for r in mixed.collect()} == {0, 1, 2}

@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from ._common import cut, n_words
 
+#: Shares of a copy are counted in whole parts of this size.
+_COPY = 1 << 20
+
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0) -> DataFrame:
     """Adds weight and target to ``sizes`` (skey, source, source_size): one row per source.
@@ -83,12 +86,17 @@ def mix_sources(
     docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0,
     block_words: int = 32, docs_per_shard: int = 64, max_shards: int = 4096, seed: int = 17,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken.
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies.
 
     size is the number of words (a null text has none), source_size and target those of the row's source (a null
     source is a source of its own, the last), and taken the words that the mix takes of the row, repeats counted: at
     most ``limit`` (a whole number) times its size. A source without words takes none. Other columns are not read;
     repeated rows are rows of their own; an empty table gives no rows. The same rows give the same result.
+
+    copies says how often the whole row is to be taken, ``limit`` at most: taken / size is added up along streams of a
+    source's rows by size, and a row has as many copies as whole numbers the sum passes at it, from a seeded start. Each
+    row has taken / size copies on average, and as neighbours are of like size, the words of a stream's copies miss its
+    taken words by some one row, however alike the ratios are.
     """
     skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), n_words("text").alias("size")))
@@ -101,7 +109,8 @@ def mix_sources(
     listed = number.agg(F.array_sort(F.collect_list(party(F.col("target"), F.col("source_size")))).alias("p"), F.floor(F.sum("target") / block_words + 0.5).cast("long").alias("seats"))
     quotas = listed.select(F.explode(sainte_lague(F.col("p"), F.col("seats"))).alias("x")).select("x.*")
     shards = F.least(F.ceil(F.col("n_docs") / docs_per_shard), F.lit(max_shards)).cast("long")
-    sources = cut(number.join(quotas, "id").select("skey", "source_size", "target", "quota", F.greatest(shards, F.lit(1)).alias("n_shards")))
+    streams = F.least(F.ceil(F.col("n_docs") / (64 * docs_per_shard)), F.lit(max_shards)).cast("long")  # long ones, as each may miss by a row
+    sources = cut(number.join(quotas, "id").select("skey", "source_size", "target", "quota", F.greatest(shards, F.lit(1)).alias("n_shards"), F.greatest(streams, F.lit(1)).alias("n_streams")))
 
     # One short row per source: broadcast if there are few, else Spark splits the hot source's partition of the join.
     dealt = sized.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, "skey").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_shards")))
@@ -126,12 +135,21 @@ def mix_sources(
         return chosen(b) * block_words + (F.expr(p) % block_words) * (chosen(f"({b} + 1)") - chosen(b))
 
     taken = F.when(F.col("n") > 0, F.expr("quota div n") * F.col("size") + upto("stop") - upto("(stop - size)")).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    # Shares of a copy are whole numbers, so their sums don't depend on the order of ties.
+    given = placed.withColumn("taken", taken.cast("long")).withColumn("part", F.when(F.col("size") > 0, F.expr(f"taken * {_COPY} div size")).otherwise(F.lit(0)).cast("long"))
+    given = given.withColumn("stream", F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "size"), F.col("n_streams"))).withColumn("begin", F.pmod(F.xxhash64(F.lit(seed + 4), "skey", "stream"), F.lit(_COPY)))
+    by_size = Window.partitionBy("skey", "stream").orderBy("size", F.xxhash64(F.lit(seed + 5), "doc_id"), "doc_id", "part").rowsBetween(Window.unboundedPreceding, 0)
+    passed = given.withColumn("upto", F.sum("part").over(by_size) + F.col("begin"))
+    return passed.select("doc_id", "size", "source_size", "target", "taken", F.expr(f"cast(upto div {_COPY} - (upto - part) div {_COPY} as int)").alias("copies"))
 
 
 def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as taken / size rounds to (half goes up), 0 drops it."""
+    """``docs`` as the mix takes them: each row as often as its copies say, 0 drops it.
+
+    If ``mixed`` has no column copies, each row is rounded by itself (half goes up).
+    """
     key, times, n = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "times", "n"))  # no column of docs has these names
-    taken = mixed.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(times)).where(F.col(times) > 0)
+    copies = F.col("copies") if "copies" in mixed.columns else F.floor(F.col("taken") / F.col("size") + 0.5)
+    taken = mixed.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(copies).cast("int").alias(times)).where(F.col(times) > 0)
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key)))
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])

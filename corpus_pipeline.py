@@ -15,11 +15,18 @@ from wattloom.llm.simhash_dedup import simhash_dedup
 from wattloom.llm.source_mix import apply_mix, mix_sources
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id in ``ids`` (one column, distinct), all their columns as they are."""
-    name = f"id_{uuid.uuid4().hex}"
-    kept = ids.toDF(name)
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col(name)), "left_semi")
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, written out so that it stays the same, and the number's column."""
+    name = f"row_{uuid.uuid4().hex}"
+    return cut(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
+def keep_one(docs: DataFrame, row: str, groups: DataFrame, largest: bool) -> DataFrame:
+    """Of the rows of ``docs`` in each group (``groups``: row, group) the one with the largest or smallest doc_id, a row without an id only if there is no other."""
+    ids = docs.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rank = F.struct(F.col("id").isNull().alias("none"), (F.bitwise_not("id") if largest else F.col("id")).alias("id"), "row")
+    kept = cut(groups.join(ids, "row").groupBy("group").agg(F.min(rank)["row"].alias(row)).select(row))
+    return docs.join(kept, row, "left_semi").drop(row)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,18 +35,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id."""
-    return keep_rows(docs, cut(exact_dedup(docs).where("kept").select("doc_id").distinct()))
+    """Of equal texts, the row with the largest doc_id; rows repeated with the same id, or all without one, leave one too."""
+    docs, row = numbered(docs)
+    groups = exact_dedup(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group"))
+    return keep_one(docs, row, groups, largest=True)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest doc_id."""
-    return keep_rows(docs, cut(simhash_dedup(docs).where("doc_id = component_id or component_id is null").select("doc_id").distinct()))
+    """Of rows whose fingerprints are linked, the one with the smallest doc_id; an id on two texts links nothing."""
+    docs, row = numbered(docs)
+    groups = simhash_dedup(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    return keep_one(docs, row, groups, largest=False)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: taken / size, rounded along streams of a source; rows with no copy go."""
-    return apply_mix(docs, cut(mix_sources(docs)))
+    """Rows as often as the mix takes them: taken / size, rounded along streams of a source; rows with no copy go."""
+    docs, row = numbered(docs)
+    return apply_mix(docs, cut(mix_sources(docs, row=row)), row).drop(row)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,21 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert [n for n, _ in C.STAGES] == ["quality", "exact_dedup", "near_dedup", "source_mix", "byte_bpe"]
 
 
+def test_repeated_rows_and_rows_without_an_id(spark):
+    text = lambda i: " ".join(f"the word{i * 37 + k} of and river{k % 5}" for k in range(60))
+    near = text(3) + " tail"
+    rows = [(1, text(1)), (1, text(1)), (None, text(2)), (None, text(2)), (3, text(3)), (3, near), (None, near), (4, text(4)), (5, text(4)), (4, text(6)), (None, text(7)), (None, text(7) + " tail")]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    ids = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    exact = C.exact(spark, docs, "")
+    assert ids(exact) == sorted([(1, text(1)), (None, text(2)), (3, text(3)), (3, near), (5, text(4)), (4, text(6)), (None, text(7)), (None, text(7) + " tail")], key=str)
+    kept = ids(C.near(spark, exact, ""))
+    assert len(kept) == 6 and sum(r[0] == 3 for r in kept) == 1 and {r[0] for r in kept} == {1, 3, 4, 5, None}
+    words = lambda df: sum(len(r["text"].split()) for r in df.collect())
+    many = spark.createDataFrame([(i % 2 or None, "w " * (50 + i), "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string")
+    assert abs(words(C.mix(spark, many, "")) - 1.5 * words(many)) <= 2 * 250
+
+
 def test_registered_names():
     names = set(queries.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))

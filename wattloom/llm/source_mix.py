@@ -84,7 +84,7 @@ def sainte_lague(parties: Column, seats: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, limit: float = 2.0,
-    block_words: int = 32, docs_per_shard: int = 64, max_shards: int = 4096, seed: int = 17,
+    block_words: int = 32, docs_per_shard: int = 64, max_shards: int = 4096, seed: int = 17, row: str | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, copies.
 
@@ -96,10 +96,11 @@ def mix_sources(
     copies says how often the whole row is to be taken, ``limit`` at most: taken / size is added up along streams of a
     source's rows by size, and a row has as many copies as whole numbers the sum passes at it, from a seeded start. Each
     row has taken / size copies on average, and as neighbours are of like size, the words of a stream's copies miss its
-    taken words by some one row, however alike the ratios are.
+    taken words by some one row, however alike the ratios are. ``row`` names a column to carry into the result, such as
+    a key of rows whose ids repeat.
     """
     skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
-    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), n_words("text").alias("size")))
+    sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), n_words("text").alias("size"), *([row] if row else [])))
     stats = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(stats, weights, share, limit).join(stats.select("skey", "n_docs"), "skey")
 
@@ -140,16 +141,17 @@ def mix_sources(
     given = given.withColumn("stream", F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "size"), F.col("n_streams"))).withColumn("begin", F.pmod(F.xxhash64(F.lit(seed + 4), "skey", "stream"), F.lit(_COPY)))
     by_size = Window.partitionBy("skey", "stream").orderBy("size", F.xxhash64(F.lit(seed + 5), "doc_id"), "doc_id", "part").rowsBetween(Window.unboundedPreceding, 0)
     passed = given.withColumn("upto", F.sum("part").over(by_size) + F.col("begin"))
-    return passed.select("doc_id", "size", "source_size", "target", "taken", F.expr(f"cast(upto div {_COPY} - (upto - part) div {_COPY} as int)").alias("copies"))
+    return passed.select("doc_id", "size", "source_size", "target", "taken", F.expr(f"cast(upto div {_COPY} - (upto - part) div {_COPY} as int)").alias("copies"), *([row] if row else []))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, 0 drops it.
 
-    If ``mixed`` has no column copies, each row is rounded by itself (half goes up).
+    ``row`` is the column of both by which rows are told; those with the same value get the most copies of any of
+    them. If ``mixed`` has no column copies, each row is rounded by itself (half goes up).
     """
     key, times, n = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "times", "n"))  # no column of docs has these names
     copies = F.col("copies") if "copies" in mixed.columns else F.floor(F.col("taken") / F.col("size") + 0.5)
-    taken = mixed.where("size > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max(copies).cast("int").alias(times)).where(F.col(times) > 0)
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(key)))
+    taken = mixed.where("size > 0").groupBy(F.col(row).alias(key)).agg(F.max(copies).cast("int").alias(times)).where(F.col(times) > 0)
+    joined = docs.join(taken, docs[row].eqNullSafe(F.col(key)))
     return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])

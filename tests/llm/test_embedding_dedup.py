@@ -33,6 +33,18 @@ def test_matches_brute_force(spark, tile, lists):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("few_first, fitted", [(True, 16), (False, 1)])
+def test_every_length_is_searched(spark, few_first, fitted):
+    rng = np.random.default_rng(2)
+    made = lambda start, n, d: [(start + i, (c + rng.normal(size=d) * 0.02).tolist(), 1) for i, c in enumerate(np.repeat(rng.normal(size=(4, d)), n // 4, axis=0))]
+    few, many = made(0 if few_first else 500, 12, 5), made(100, 60, 16)
+    few.append((900, few[0][1], 1))
+    df = spark.createDataFrame(few + many if few_first else many + few, "vec_id long, embedding array<float>, label int").coalesce(1)
+    as_float = lambda rows: [(i, np.array(v, np.float32).astype(float).tolist(), k) for i, v, k in rows]
+    got = sorted(map(tuple, embedding_dedup(df, fitted_lengths=fitted, tile=7).collect()), key=str)
+    assert got == sorted(brute(as_float(few)) + brute(as_float(many)), key=str) and all(r[1] for r in got)
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup(df).count() == 0

@@ -6,7 +6,7 @@ the bisecting plane says so), reads approximate distances from a table of its su
 keeps what the stored quantisation error cannot rule out; the exact cosine in double precision decides. Both bounds
 are triangle inequalities, so no link is lost.
 
-Lists are kept per label. A list's stored vectors and its queries are dealt into tiles of bounded size, so a hot list
+Lists are kept per label and vector length. A list's stored vectors and its queries are dealt into tiles of bounded size, so a hot list
 is many tiles. A tile returns a link count per query and a spanning forest of its links, never all pairs; equal
 vectors are one stored vector with a count.
 """
@@ -123,14 +123,16 @@ def _links_of_tile(stored: pd.DataFrame, queries: pd.DataFrame, model: Quantiser
 
 
 def embedding_dedup(
-    vectors: DataFrame, cosine: float = 0.93, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample_rows: int = 8192, tile: int = 512
+    vectors: DataFrame, cosine: float = 0.93, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample_rows: int = 8192, tile: int = 512,
+    fitted_lengths: int = 16,
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Vectors with equal, non-null labels link at ``cosine`` or above, in double precision. Vectors that are null, zero
-    or hold null or non-finite components link with nothing, and so do vectors of another length than the first
-    usable one sampled. The quantiser is fitted on ``sample_rows`` vectors at most, chosen by a hash; every vector is
-    indexed. ``lists`` follows the square root of the number of vectors per label unless given. Equal vectors are
+    or hold null or non-finite components link with nothing. Vectors of different lengths don't link, and each length has
+    lists of its own: the ``fitted_lengths`` most common ones have a quantiser each, fitted on ``sample_rows`` vectors at
+    most, chosen by a hash; the vectors of any other length are one list per label, in tiles like every list. Every
+    vector is indexed. ``lists`` follows the square root of the number of vectors per label and length unless given. Equal vectors are
     linked with each other; a repeated row counts as another vector. Rows without an id link with
     nothing and are not kept; rows with the same id are one node. Other columns are not read; an empty table gives no rows.
     """
@@ -143,46 +145,48 @@ def embedding_dedup(
 
     usable = keyed.where("v is not null")
     groups = cut(usable.groupBy("label", "h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    total, labels = groups.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
-    if total:
-        share = min(1.0, sample_rows / total)
-        sample = groups.where(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(sample_rows).collect() or groups.select("v").limit(1).collect()
-        size = len(sample[0]["v"])
-        x = np.array([r["v"] for r in sample if len(r["v"]) == size])
-        model = fit_quantiser(x, lists or max(1, round((total / labels) ** 0.5 / 4)), subspaces, codewords)
-    else:
-        model = Quantiser(np.zeros((1, 1)), np.zeros((1, 1, 1)))
-        size = 1
+    groups = groups.withColumn("size", F.size("v"))
+    models = {}
+    common = groups.groupBy("size").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("label").alias("labels")).orderBy(F.desc("total"), "size").limit(fitted_lengths)
+    for size, total, labels in common.collect():
+        share, same = min(1.0, sample_rows / total), groups.where(F.col("size") == size)
+        sample = same.where(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(sample_rows).collect() or same.select("v").limit(1).collect()
+        models[size] = fit_quantiser(np.array([r["v"] for r in sample]), lists or max(1, round((total / labels) ** 0.5 / 4)), subspaces, codewords)
+
+    def model_of(size: int) -> Quantiser:
+        # one list and one codeword at the origin rule nothing out, so every pair of the list is compared
+        return models[size] if size in models else Quantiser(np.zeros((1, size)), np.zeros((1, 1, size)))
+
     reach = float(np.sqrt(2 - 2 * cosine))
-    groups = groups.where(F.size("v") == size)
 
     def assign(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(1)
-            v = np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, size)
-            own = model.nearest(v)
-            near = model.probes(v, own, reach)
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, batch.column(2), batch.column(3), pa.array(own.astype(np.int32)), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], names=["label", "v", "rep", "n", "list", "probes"])
+        for mixed in batches:
+            sizes = np.asarray(mixed.column(4))
+            for size in np.unique(sizes).tolist():
+                batch = mixed.take(pa.array(np.flatnonzero(sizes == size)))
+                column, model = batch.column(1), model_of(size)
+                v = np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, size)
+                own = model.nearest(v)
+                near = model.probes(v, own, reach)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], names=["label", "v", "rep", "n", "size", "list", "probes"])
 
     label_type = groups.schema["label"].dataType.simpleString()
-    indexed = cut(groups.select("label", "v", "rep", "n").mapInArrow(assign, f"label {label_type}, v array<double>, rep long, n long, list int, probes array<int>"))
-    stored = indexed.select("label", "list", "rep", "n", "v")
-    queries = indexed.select("label", F.explode("probes").alias("list"), "rep", "v")
-    sizes = stored.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("x_tiles"))
-    asked = queries.groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("q_tiles"))
-    # every (label, list) has a stored vector or is not asked for; its tiles are numbered (stored part, query part)
-    grid = cut(sizes.join(asked, ["label", "list"]))
+    indexed = cut(groups.select("label", "v", "rep", "n", "size").mapInArrow(assign, f"label {label_type}, v array<double>, rep long, n long, size int, list int, probes array<int>"))
+    stored = indexed.select("label", "size", "list", "rep", "n", "v")
+    queries = indexed.select("label", "size", F.explode("probes").alias("list"), "rep", "v")
+    sizes = stored.groupBy("label", "size", "list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("x_tiles"))
+    asked = queries.groupBy("label", "size", "list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("q_tiles"))
+    # every (label, size, list) has a stored vector or is not asked for; its tiles are numbered (stored part, query part)
+    grid = cut(sizes.join(asked, ["label", "size", "list"]))
     part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    left = stored.join(grid, ["label", "list"]).select("label", "list", "rep", "n", "v", part("x_tiles", 1).alias("xt"), F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)).alias("qt"))
-    right = queries.join(grid, ["label", "list"]).select("label", "list", "rep", "v", part("q_tiles", 2).alias("qt"), F.explode(F.sequence(F.lit(0), F.col("x_tiles") - 1)).alias("xt"))
+    left = stored.join(grid, ["label", "size", "list"]).select("label", "size", "list", "rep", "n", "v", part("x_tiles", 1).alias("xt"), F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)).alias("qt"))
+    right = queries.join(grid, ["label", "size", "list"]).select("label", "size", "list", "rep", "v", part("q_tiles", 2).alias("qt"), F.explode(F.sequence(F.lit(0), F.col("x_tiles") - 1)).alias("xt"))
     right = right.toDF(*[f"q_{c}" for c in right.columns])
 
     def run(stored_tile: pd.DataFrame, query_tile: pd.DataFrame) -> pd.DataFrame:
         if not len(stored_tile) or not len(query_tile):
             return pd.DataFrame({"rep": [], "other": [], "links": []})
-        counts, forest = _links_of_tile(stored_tile, query_tile, model, cosine, reach)
+        counts, forest = _links_of_tile(stored_tile, query_tile, model_of(int(stored_tile["size"].iloc[0])), cosine, reach)
         some = counts > 0
         ends = np.array(forest, np.int64).reshape(-1, 2)
         return pd.DataFrame({
@@ -190,7 +194,7 @@ def embedding_dedup(
             "links": np.r_[counts[some], np.zeros(len(ends), np.int64)],
         })
 
-    key = ["label", "list", "xt", "qt"]
+    key = ["label", "size", "list", "xt", "qt"]
     found = cut(left.groupBy(*key).cogroup(right.groupBy(*[f"q_{c}" for c in key])).applyInPandas(run, "rep long, other long, links long"))
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))

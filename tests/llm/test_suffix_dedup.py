@@ -31,7 +31,7 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("settings", [
-    {"batch_windows": 64, "hold": 100}, {"most_strips": 1, "longest": 16}, {"most_windows": 10, "grams": (8,)},
+    {"batch_bytes": 200, "hold": 100}, {"most_strips": 1, "longest": 16}, {"most_windows": 10, "grams": (8,)}, {"grams": (40,)},
 ])
 def test_matches_brute_force(spark, settings):
     texts = corpus(len(settings))
@@ -57,8 +57,41 @@ def test_levels_grow_geometrically():
     family = S.SuffixFamily(40, lambda refs: found.update(refs.tolist()))
     for k in range(0, 4900, 100):
         family.add(data, np.arange(k, min(k + 100, 4961)), np.arange(k, min(k + 100, 4961)))
-        sizes = [len(keys) for keys, _ in family.levels]
+        sizes = list(map(len, family.levels))
         assert all(a > 2 * b - 1 or a > b for a, b in zip(sizes, sizes[1:], strict=False)) and len(sizes) <= 8
     assert not found and len(family) == 4900
     family.add(data, np.arange(10, 20), np.arange(10_000, 10_010))
     assert found == {*range(10, 20), *range(10_000, 10_010)}
+
+
+def test_a_suffix_array_orders_window_starts():
+    rng = np.random.default_rng(4)
+    data = rng.choice(np.frombuffer(b"ab\0\xff", np.uint8), 3000)
+    data = np.concatenate([data, data[500:1500], np.frombuffer(b"xy" * 200, np.uint8)])
+    for width in (3, 5, 8, 37, 64):
+        for starts in (np.arange(len(data) - width + 1), np.arange(0, len(data) - width, 50)):
+            order, same = S.suffix_order(data, starts, width)
+            got = [data[a : a + width].tobytes() for a in starts[order]]
+            assert got == sorted(got) and same.tolist() == [False, *(a == b for a, b in zip(got, got[1:], strict=False))]
+
+
+def test_a_merge_scan_tells_rank_and_shared_prefix():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 100, 2008, np.uint8)
+    raw[1000:1300] = raw[200:500]
+
+    def level(starts, width):
+        order, same = S.suffix_order(raw, starts, width)
+        return S.SuffixLevel(raw, starts[order[~same]], starts[order[~same]], width)
+
+    for width in (6, 24, 61):
+        a, b = level(np.arange(0, 900), width), level(np.arange(900, 1900), width)
+        rank, shared = a.merge_scan(b)
+        mine = [raw[i : i + width].tobytes() for i in a.starts]
+        for r, n, i in zip(rank, shared, b.starts, strict=True):
+            key = raw[i : i + width].tobytes()
+            assert r == sum(m < key for m in mine) and (n >= width) == (key in mine)
+        rest = b.only(shared < width)
+        both = a.merged(rest)
+        keys = [both.data[i : i + width].tobytes() for i in both.starts]
+        assert keys == sorted(keys) and len(set(keys)) == len(a) + len(rest) and sorted(both.refs) == sorted([*a.refs, *rest.refs])

@@ -6,10 +6,12 @@ minimizer travel together as one strip of text, equal strips as one strip with a
 occurs nowhere else are left out: what is shuffled is a few numbers per strip and the bytes of the strips that may match.
 
 A task keeps a logarithmic family of suffix arrays over its strips: every new batch gets a suffix array of its window
-starts, is merge-scanned against the levels there are, and levels of equal size are merged, so sizes grow
-geometrically. Strips come sorted by minimizer, and levels of minimizers that are done are dropped. A minimizer with
-more strips than a task should hold goes another exact way: its strips are cut again by the minimizers of longer grams,
-and what is still too much is counted window by window by digests, with map-side combine.
+starts (positions in its bytes), is merge-scanned against the levels there are for prefixes of the window's length, and
+levels of equal size are merged, so sizes grow geometrically. Strips come sorted by minimizer, and levels of minimizers
+that are done are dropped. Of strips with the same minimizer and digest two come with their bytes, which the arrays
+find equal; the others are told by these two 64-bit hashes. A minimizer with more strips than a task should hold is cut
+again by the minimizers of longer grams, at last by grams of the window's own length: a strip is then one window, and
+only windows that occur again travel.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ _BYTES = np.random.default_rng(7).integers(0, 2**64, 256, np.uint64, endpoint=Fa
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of the ``gram`` bytes (a power of two) from every position."""
+    """A 64-bit hash of the ``gram`` bytes from every position; the last doubling overlaps."""
     h, size, factor = _BYTES[data], 1, int(_M1)
     while size < gram:
-        h = h[:-size] * np.uint64(factor) + h[size:]
+        step = min(size, gram - size)
+        h = h[:-step] * np.uint64(factor) + h[step:]
         factor = factor * factor % 2**64 | 1
-        size *= 2
+        size += step
     h *= _M2
     h ^= h >> np.uint64(32)
     h *= _M1
@@ -87,40 +90,138 @@ def strips(raw: list[bytes], width: int, gram: int, longest: int):
     return text, value.view(np.int64), sums.view(np.int64), start, length, inner
 
 
+#: Positions of a batch fit in so many bits, two ranks and a position in one 63-bit number.
+_BITS = 21
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of keys below 2**42: their rank among the distinct keys, their order, and whether each in that order equals the one before."""
+    packed = np.sort(key << _BITS | np.arange(len(key)))
+    order, value = packed & (1 << _BITS) - 1, packed >> _BITS
+    same = np.r_[False, value[1:] == value[:-1]]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(~same) - 1
+    return rank, order, same
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): the suffix array of ``starts`` by the first ``width`` bytes, and whether a suffix shares them all with the one before.
+
+    Ranks of prefixes are doubled until they reach ``width``; the last step overlaps. Starts that lie far apart (their
+    number is small against the bytes) are sorted as they are.
+    """
+    if len(data) > 8 * len(starts):
+        whole = np.ndarray((len(data) - width + 1,), f"S{width}", data, strides=(1,))[starts]
+        order = np.argsort(whole, kind="stable")
+        return order, np.r_[False, whole[order[1:]] == whole[order[:-1]]]
+    depth = min(5, width)
+    key = np.zeros(len(data) - depth + 1, np.int64)
+    for k in range(depth):
+        key = key << 8 | data[k : len(data) - depth + 1 + k]
+    rank = _numbered(key)[0]
+    while 2 * depth <= width:
+        rank = _numbered(rank[:-depth] << _BITS | rank[depth:])[0]
+        depth *= 2
+    _, order, same = _numbered(rank[starts] << _BITS | rank[starts + width - depth])
+    return order, same
+
+
+class SuffixLevel:
+    """Suffixes of ``data`` in the order of their first ``width`` bytes, no two alike there; ``refs`` says which window each one is."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, refs: np.ndarray, width: int):
+        self.data, self.starts, self.refs, self.width = data, starts, refs, width
+        self._words = np.ndarray((max(0, len(data) - 7),), ">u8", data, strides=(1,))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def word(self, at: int, which) -> np.ndarray:
+        """The eight bytes ``at`` some place of the chosen suffixes as a number, fewer if ``width`` is less."""
+        return self._words[self.starts[which] + at].astype(np.uint64) >> np.uint64(8 * max(0, 8 - self.width))
+
+    def only(self, which: np.ndarray) -> SuffixLevel:
+        return SuffixLevel(self.data, self.starts[which], self.refs[which], self.width)
+
+    def _bound(self, at: int, low: np.ndarray, high: np.ndarray, want: np.ndarray, above: bool) -> np.ndarray:
+        """First place in [low, high) whose word is not below (or, with ``above``, is above) the wanted one."""
+        low, high = low.copy(), high.copy()
+        live = np.flatnonzero(low < high)
+        while len(live):
+            middle = (low[live] + high[live]) >> 1
+            here = self.word(at, middle)
+            before = here <= want[live] if above else here < want[live]
+            low[live[before]], high[live[~before]] = middle[before] + 1, middle[~before]
+            live = live[low[live] < high[live]]
+        return low
+
+    def merge_scan(self, other: SuffixLevel) -> tuple[np.ndarray, np.ndarray]:
+        """Both orders side by side: (rank, shared) of the suffixes of ``other``.
+
+        rank is where one belongs in this level, shared the length of the prefix it has in common with some suffix
+        here, in whole words and ``width`` at most. The range that shares a prefix is narrowed word by word.
+        """
+        size = min(8, self.width)
+        head, want = self.word(0, slice(None)), other.word(0, slice(None))
+        low, high = np.searchsorted(head, want, "left"), np.searchsorted(head, want, "right")
+        shared = np.where(low < high, size, 0)
+        live = np.flatnonzero(low < high)
+        at = size
+        while len(live) and at < self.width:
+            step = min(at, self.width - size)  # the last word overlaps
+            want = other.word(step, live)
+            a = self._bound(step, low[live], high[live], want, False)
+            high[live] = self._bound(step, a, high[live], want, True)
+            low[live] = a
+            live = live[low[live] < high[live]]
+            at = step + size
+            shared[live] = at
+        return low, shared
+
+    def merged(self, other: SuffixLevel) -> SuffixLevel:
+        """One level of two that have no window in common."""
+        rank, _ = self.merge_scan(other)
+        place = rank + np.arange(len(other))
+        mine = np.ones(len(self) + len(other), bool)
+        mine[place] = False
+        starts, refs = np.empty(len(mine), np.int64), np.empty(len(mine), np.int64)
+        starts[mine], starts[place] = self.starts, other.starts + len(self.data)
+        refs[mine], refs[place] = self.refs, other.refs
+        return SuffixLevel(np.concatenate([self.data, other.data]), starts, refs, self.width)
+
+
 class SuffixFamily:
-    """Suffix arrays over window starts, level by level; equal windows are marked in ``found``."""
+    """A logarithmic family of suffix arrays: windows that share all their bytes with another are told to ``mark``.
+
+    A new batch gets a suffix array, is merge-scanned against every level, and becomes the last level; while a level
+    is at least half as large as the one before it, the two are merged.
+    """
 
     def __init__(self, width: int, mark):
         self.width, self.mark, self.levels = width, mark, []
 
     def __len__(self) -> int:
-        return sum(len(k) for k, _ in self.levels)
+        return sum(map(len, self.levels))
 
     def add(self, data: bytes, starts: np.ndarray, refs: np.ndarray) -> None:
         """A batch: window starts in ``data``, and the number that stands for each window."""
-        windows = np.ndarray((len(data) - self.width + 1,), f"S{self.width}", data, strides=(1,))[starts]
-        order = np.argsort(windows, kind="stable")
-        keys, refs = windows[order], refs[order]
-        same = keys[1:] == keys[:-1]
-        self.mark(refs[1:][same])
-        self.mark(refs[:-1][same])
-        first = np.r_[True, ~same]
-        keys, refs = keys[first], refs[first]
-        for old_keys, old_refs in self.levels:
-            at = np.searchsorted(old_keys, keys)
-            at[at == len(old_keys)] = 0
-            hit = old_keys[at] == keys
+        raw = np.frombuffer(data + bytes(8), np.uint8)
+        order, same = suffix_order(raw, starts, self.width)
+        again = refs[order][same | np.r_[same[1:], False]]
+        self.mark(again)
+        first = order[~same]
+        new = SuffixLevel(raw, starts[first], refs[first], self.width)
+        for level in self.levels:
+            rank, shared = level.merge_scan(new)
+            hit = shared >= self.width
             if hit.any():
-                self.mark(refs[hit])
-                self.mark(old_refs[at[hit]])
-                keys, refs = keys[~hit], refs[~hit]
-        if len(keys):
-            self.levels.append((keys, refs))
-        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            (a, b), (c, d) = self.levels[-2:]
-            keys, refs = np.concatenate([a, c]), np.concatenate([b, d])
-            order = np.argsort(keys, kind="stable")  # two sorted runs
-            self.levels[-2:] = [(keys[order], refs[order])]
+                self.mark(new.refs[hit])
+                self.mark(level.refs[rank[hit]])
+                new = new.only(~hit)
+        if len(new):
+            self.levels.append(new)
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) >= len(self.levels[-2]):
+            self.levels[-2:] = [self.levels[-2].merged(self.levels[-1])]
 
 
 def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,96 +234,72 @@ _FOUND = "h long, d long, begin array<int>, stop array<int>"
 _PLACE, _COUNT, _INNER = "at div 4096", "at div 2 % 2048", "at % 2 = 1"
 
 
-def _index(width: int, batch_windows: int, hold: int):
-    """Task over strips (h, d, c, n, piece, wide) sorted by wide and h: ranges of windows that occur elsewhere.
+def _index(width: int, batch_bytes: int, hold: int):
+    """Task over strips (h, d, r, c, n, piece, wide) sorted by wide and h: ranges of windows that occur elsewhere.
 
+    c says how many strips are told by this one alone, r which of the two of its digest it is; the first one reports.
     Wide strips pass through with their bytes.
     """
     names = ["h", "d", "begin", "stop", "c", "piece"]
+    batch_bytes = min(batch_bytes, (1 << _BITS) - (1 << 14))
 
     def run(batches):
-        held, waiting = [], 0  # strips of the batch to come
-        live: list = []  # strips whose windows are in the family: [h, d, flags]
+        held, waiting = [], 0  # strips of the batch to come, and their bytes
+        live: list = []  # strips whose windows are in the family: (h, d, r, flags)
         offsets = [0]
 
         def mark(refs):
             if len(refs):
-                which = np.searchsorted(bounds, refs, side="right") - 1
-                for k in np.unique(which):
-                    live[k][2][refs[which == k] - bounds[k]] = True
+                flags[refs] = True
 
-        family, bounds = SuffixFamily(width, mark), np.zeros(0, np.int64)
+        family, flags = SuffixFamily(width, mark), np.zeros(0, bool)
 
         def push():
-            nonlocal held, waiting, bounds
+            nonlocal held, waiting, flags
             if not held:
                 return
-            data = b"".join(x[4] for x in held)
-            sizes = np.array([len(x[4]) for x in held], np.int64)
-            n = np.array([x[3] for x in held], np.int64)
+            sizes = np.array([len(x[5]) for x in held], np.int64)
+            n = np.array([x[4] for x in held], np.int64)
             base = offsets[-1]
-            for x in held:
-                live.append([x[0], x[1], np.full(x[3], x[2] > 1)])
-                offsets.append(offsets[-1] + x[3])
-            bounds = np.array(offsets[:-1], np.int64)
+            live.extend(x[:3] for x in held)
+            offsets.extend((base + np.cumsum(n)).tolist())
+            flags = np.r_[flags, np.repeat([x[3] > 1 for x in held], n)]
             inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            family.add(data, np.repeat(np.cumsum(sizes) - sizes, n) + inside, base + np.arange(n.sum()))
+            family.add(b"".join([x[5] for x in held]), np.repeat(np.cumsum(sizes) - sizes, n) + inside, base + np.arange(n.sum()))
             held, waiting = [], 0
 
         def drain():
-            nonlocal live, offsets, family
+            nonlocal live, offsets, family, flags
             out = [[], [], [], []]
-            for h, d, flags in live:
-                if flags.any():
-                    a, b = _ranges(flags)
-                    for column, value in zip(out, (h, d, a, b), strict=True):
+            for (h, d, r), a, b in zip(live, offsets, offsets[1:], strict=False):
+                if r == 0 and flags[a:b].any():
+                    for column, value in zip(out, (h, d, *_ranges(flags[a:b])), strict=True):
                         column.append(value)
-            live, offsets = [], [0]
-            family = SuffixFamily(width, mark)
+            live, offsets, family, flags = [], [0], SuffixFamily(width, mark), np.zeros(0, bool)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:2]), *(pa.array(c, pa.list_(pa.int32())) for c in out[2:]), pa.nulls(len(out[0]), pa.int64()), pa.nulls(len(out[0]), pa.binary())], names=names)
 
         last = None
         for batch in batches:
-            passing = batch.filter(batch.column(5))
+            passing = batch.filter(batch.column(6))
             if passing.num_rows:
                 none = pa.nulls(passing.num_rows, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([passing.column(0), passing.column(1), none, none, passing.column(2), passing.column(4)], names=names)
-            for row in zip(*(c.to_pylist() for c in batch.filter(pc.invert(batch.column(5))).columns), strict=True):
-                if row[0] != last and len(family) + waiting >= hold:  # no earlier minimizer comes again
+                yield pa.RecordBatch.from_arrays([passing.column(0), passing.column(1), none, none, passing.column(3), passing.column(5)], names=names)
+            for row in zip(*(c.to_pylist() for c in batch.filter(pc.invert(batch.column(6))).columns), strict=True):
+                if row[0] != last and len(flags) >= hold:  # no earlier minimizer comes again
                     push()
                     yield from drain()
+                if waiting and waiting + len(row[5]) > batch_bytes:
+                    push()
                 held.append(row)
-                waiting += row[3]
+                waiting += len(row[5])
                 last = row[0]
-                if waiting >= batch_windows:
-                    push()
         push()
         yield from drain()
 
     return run
 
 
-def _windows(width: int):
-    """Task over strips (h, d, c, piece): one row per window with its digest."""
-
-    def run(batches):
-        for batch in batches:
-            for h, d, c, piece in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                view, n = memoryview(piece), len(piece) - width + 1
-                both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[i : i + width]) for i in range(n)]), "<i8").reshape(-1, 2)
-                fixed = [pa.array(np.full(n, v), pa.int64()) for v in (h, d, c)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(np.arange(n), pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["h", "d", "c", "i", "w1", "w2"])
-
-    return run
-
-
-def _join_ranges(batches):
-    for batch in batches:
-        found = [_ranges(np.bincount(np.asarray(i), minlength=1) > 0) for i in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in (0, 1))], names=["h", "d", "begin", "stop"])
-
-
 def _apart(df: DataFrame, key: str) -> DataFrame:
     """``df`` with its key under another name and mixed, so that a join gives it an exchange of its own and a hot key can be split."""
     return df.withColumn("__k", F.col(key).bitwiseXOR(F.lit(1))).drop(key)
@@ -232,25 +309,18 @@ def _on(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return df.withColumn("__k", F.col(key).bitwiseXOR(F.lit(1))).join(_apart(other, key), "__k").drop("__k")
 
 
-def _by_digest(wide: DataFrame, width: int) -> DataFrame:
-    """(h, d, begin, stop) of strips whose windows are counted one by one."""
-    windows = wide.select("h", "d", "c", "piece").mapInArrow(_windows(width), "h long, d long, c long, i int, w1 long, w2 long")
-    again = windows.groupBy("w1", "w2").agg(F.sum("c").alias("total")).where("total > 1").select(F.col("w1").alias("v1"), "w2")
-    again = again.withColumn("w2", F.col("w2").bitwiseXOR(F.lit(1))).toDF("v1", "v2")
-    hits = windows.join(again, (F.col("w1") == F.col("v1")) & (F.col("w2").bitwiseXOR(F.lit(1)) == F.col("v2")))
-    return hits.groupBy("h", "d").agg(F.collect_list("i").alias("i")).mapInArrow(_join_ranges, _FOUND)
-
-
 def repeated_spans(
-    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256), longest: int = 1024, batch_windows: int = 1 << 14, hold: int = 1 << 16, most_strips: int = 256, most_windows: int = 1 << 16
+    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256), longest: int = 1024, batch_bytes: int = 1 << 18, hold: int = 1 << 16, most_strips: int = 256, most_windows: int = 1 << 16
 ) -> DataFrame:
     """(doc_id, th, begin, stop): byte ranges covered by windows that occur elsewhere, overlapping as they come.
 
     ``rows`` has doc_id, th (together the key of a text), text (binary) and c (how often the text occurs). ``grams``
-    are powers of two up to ``width``. A minimizer with more than ``most_strips`` strips or ``most_windows`` windows is
-    left to the next gram, which tells strips apart by more bytes, and after the last to digests of single windows.
+    are at most ``width``. A minimizer with more than ``most_strips`` strips or ``most_windows`` windows is left to the
+    next gram, which tells strips apart by more bytes, and after the last to grams of ``width`` bytes, whose strips
+    are single windows (or periodic text), so that a minimizer has one strip. ``batch_bytes`` is the size of a batch,
+    two million at most, and levels are dropped between minimizers once they hold ``hold`` windows.
     """
-    gram, finer = grams[0], grams[1:]
+    gram, finer = grams[0], grams[1:] or ((width,) if grams[0] < width else ())
 
     def cut_strips(batches):
         for batch in batches:
@@ -264,29 +334,28 @@ def repeated_spans(
     # Strips whose minimizer comes once and not twice in the strip cannot match; the others are kept, a few numbers each.
     all_strips = cut(rows.select("doc_id", "th", "c", "text").mapInArrow(cut_strips, "doc_id long, th long, c int, h long, d long, at long"))
     often = all_strips.groupBy("h").agg(F.sum("c").alias("total"), F.bool_or(F.expr(_INNER)).alias("inner")).where("total > 1 or inner").select("h")
-    places = cut(_on(all_strips, often, "h"), release=True)
-    del all_strips, often
+    places = cut(_on(all_strips, often, "h"))
 
-    texts = places.groupBy("h", "d").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "th", "at")).alias("x")).select("h", "d", "c", "x.*")
-    texts = cut(texts.select("h", "d", "c", "doc_id", "th", F.expr(_PLACE).cast("int").alias("s"), F.expr(_COUNT).cast("int").alias("n")))
+    # Of equal strips the first and the last place come with their bytes.
+    place = F.struct("doc_id", "th", "at")
+    texts = places.groupBy("h", "d").agg(F.sum("c").alias("c"), F.array_distinct(F.array(F.min(place), F.max(place))).alias("x"))
+    texts = texts.select("h", "d", F.when(F.size("x") == 1, F.col("c")).otherwise(F.lit(1)).alias("alone"), "c", F.posexplode("x").alias("r", "x")).select("h", "d", "alone", "c", "r", "x.*")
+    texts = cut(texts.select("h", "d", "r", "alone", "c", "doc_id", "th", F.expr(_PLACE).cast("int").alias("s"), F.expr(_COUNT).cast("int").alias("n")))
     per = texts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("windows"))
-    wide = (F.col("k") > most_strips) | (F.col("windows") > most_windows)
-    chosen = _on(texts, per.select("h", wide.alias("wide")), "h")
+    wide = ((F.col("k") > most_strips) | (F.col("windows") > most_windows)) & F.lit(bool(finer))
+    chosen = _on(texts, per.select("h", wide.alias("wide")), "h").where("r = 0 or not wide")
     pieces = rows.select("doc_id", "th", F.col("text").alias("raw")).join(chosen, ["doc_id", "th"])
-    pieces = pieces.select("h", "d", "c", "n", F.expr(f"substring(raw, s + 1, n + {width - 1})").alias("piece"), "wide")
+    told = F.when(F.col("wide"), F.least("c", F.lit(2))).otherwise(F.col("alone")).cast("long")
+    pieces = pieces.select("h", "d", "r", told.alias("c"), "n", F.expr(f"substring(raw, s + 1, n + {width - 1})").alias("piece"), "wide")
     dealt = pieces.repartition(F.when(F.col("wide"), F.col("d")).otherwise(F.col("h"))).sortWithinPartitions("wide", "h")
-    out = cut(dealt.mapInArrow(_index(width, batch_windows, hold), f"{_FOUND}, c long, piece binary"), release=True)
-    del dealt, pieces, chosen
+    out = cut(dealt.mapInArrow(_index(width, batch_bytes, hold), f"{_FOUND}, c long, piece binary"))
     found, rest = out.where("piece is null").select("h", "d", "begin", "stop"), out.where("piece is not null").select("h", "d", "c", "piece")
-    if not rest.isEmpty():
-        if finer:
-            below = rest.select(F.col("h").alias("doc_id"), F.col("d").alias("th"), F.col("piece").alias("text"), F.least("c", F.lit(2)).cast("int").alias("c"))
-            inner = repeated_spans(below, width, finer, longest, batch_windows, hold, most_strips, most_windows)
-            more = inner.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", (F.col("stop") - (width - 1)).alias("stop"))).alias("x"))
-            ints = lambda name: F.transform("x", lambda r: r[name].cast("int"))
-            found = found.unionByName(more.select(F.col("doc_id").alias("h"), F.col("th").alias("d"), ints("begin").alias("begin"), ints("stop").alias("stop")))
-        else:
-            found = found.unionByName(_by_digest(rest, width))
+    if finer and not rest.isEmpty():
+        below = rest.select(F.col("h").alias("doc_id"), F.col("d").alias("th"), F.col("piece").alias("text"), F.col("c").cast("int").alias("c"))
+        inner = repeated_spans(below, width, finer, longest, batch_bytes, hold, most_strips, most_windows)
+        more = inner.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", (F.col("stop") - (width - 1)).alias("stop"))).alias("x"))
+        ints = lambda name: F.transform("x", lambda r: r[name].cast("int"))
+        found = found.unionByName(more.select(F.col("doc_id").alias("h"), F.col("th").alias("d"), ints("begin").alias("begin"), ints("stop").alias("stop")))
     spread = places.join(found, ["h", "d"]).select("doc_id", "th", F.expr(_PLACE).alias("s"), F.explode(F.arrays_zip("begin", "stop")).alias("x"))
     return spread.select("doc_id", "th", (F.col("s") + F.col("x.begin")).alias("begin"), (F.col("s") + F.col("x.stop") + (width - 1)).alias("stop"))
 

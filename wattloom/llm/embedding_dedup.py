@@ -1,14 +1,15 @@
 """Embedding near-dedup by product quantisation.
 
-Unit vectors go into coarse inverted lists, and a list stores each vector as the code of its residual, one codeword
-per subspace. A query probes every list whose cell can hold a vector within the threshold distance (its distance to
-the bisecting plane says so), reads approximate distances from a table of its subspace distances to the codewords, and
-keeps what the stored quantisation error cannot rule out; the exact cosine in double precision decides. Both bounds
-are triangle inequalities, so no link is lost.
-
-Lists are kept per label and vector length. A list's stored vectors and its queries are dealt into tiles of bounded size, so a hot list
-is many tiles. A tile returns a link count per query and a spanning forest of its links, never all pairs; equal
-vectors are one stored vector with a count.
+Unit vectors go into coarse inverted lists, and a list stores each vector once, with the code of its residual, one
+codeword per subspace. A query probes the lists whose cells are nearest to it (leaving out those that cannot hold a vector
+within the threshold distance), reads approximate distances from a table of its subspace distances to the codewords, and keeps
+what the stored quantisation error cannot rule out; the exact cosine in double precision decides. A pair is found if
+either of the two has the other's list among its probes, and it counts for both, once. The number of probes is all that
+may lose a link.
+
+Lists are kept per label and vector length, and vectors travel as the bytes of their source type. A list of more than a
+tile's vectors or queries is dealt into tiles of bounded size, so a hot list is many tiles. A tile returns link counts
+and a spanning forest of its links, never all pairs; equal vectors are one stored vector with a count.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +48,18 @@ class Quantiser:
     def nearest(self, x: np.ndarray) -> np.ndarray:
         return (np.einsum("ij,ij->i", self.centres, self.centres)[None] - 2 * x @ self.centres.T).argmin(axis=1)
 
-    def probes(self, x: np.ndarray, own: np.ndarray, reach: float) -> np.ndarray:
-        """(n, lists) true where a vector within ``reach`` of x can lie in the list's cell."""
+    def probes(self, x: np.ndarray, own: np.ndarray, reach: float, most: int) -> np.ndarray:
+        """(n, k) lists, k = ``most`` at most, by the distance of x to the plane between its own cell and theirs; its own comes first, and -1 stands for a list whose cell can hold no vector within ``reach`` of x."""
         c = self.centres
-        square = np.maximum(((x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T), 0)
-        between = np.sqrt(np.maximum((c * c).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * c @ c.T, 0))
-        rows = np.arange(len(x))
-        gap = square - square[rows, own][:, None]
-        near = gap <= 2 * between[own] * reach + 1e-9
-        near[rows, own] = True
-        return near
+        norms = (c * c).sum(1)
+        square = norms[None] - 2 * x @ c.T
+        between = np.sqrt(np.maximum(norms[:, None] + norms[None] - 2 * c @ c.T, 1e-18))
+        away = (square - square[np.arange(len(x)), own][:, None]) / (2 * between[own])
+        away[np.arange(len(x)), own] = -1.0
+        k = min(most, len(c))
+        near = np.argpartition(away, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(x), 1))
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(away, near, 1), axis=1, kind="stable"), 1)
+        return np.where(np.take_along_axis(away, near, 1) <= reach + 1e-9, near, -1)
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (n, subspaces) of the residuals, and the length of what the codes miss."""
@@ -82,49 +86,67 @@ def fit_quantiser(vectors: np.ndarray, lists: int, subspaces: int = 8, codewords
     return Quantiser(centres, books)
 
 
-def _links_of_tile(stored: pd.DataFrame, queries: pd.DataFrame, model: Quantiser, cosine: float, reach: float):
-    """Link weight per query and a spanning forest of the links of one tile."""
-    x = np.stack(stored["v"].to_numpy()).astype(np.float64)
-    q = np.stack(queries["q_v"].to_numpy()).astype(np.float64)
-    x_id, q_id, x_n = stored["rep"].to_numpy(), queries["q_rep"].to_numpy(), stored["n"].to_numpy()
-    m, _, sub = model.books.shape
-    own = np.full(len(x), stored["list"].iloc[0])
-    codes, missed = model.encode(x, own)
-    counts = np.zeros(len(q), np.int64)
-    parent: dict[int, int] = {}
-    forest = []
-
-    def root(i):
-        while parent.setdefault(i, i) != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+def _decoded(raw, kind: str, size: int) -> np.ndarray:
+    """Unit vectors in double precision; a vector is scaled by its largest component first, so that no square overflows."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(len(raw), size).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+class _Forest:
+    """Spanning forest of links among n nodes, fed block by block."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+        self.edges: list[np.ndarray] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            u, v = self.parent[a], self.parent[b]
+            differ = u != v
+            a, b, high, low = a[differ], b[differ], np.maximum(u, v)[differ], np.minimum(u, v)[differ]
+            if not len(a):
+                return
+            _, first = np.unique(high, return_index=True)  # one link below each root
+            self.edges.append(np.stack([a[first], b[first]], axis=1))
+            self.parent[high[first]] = low[first]
+            while (self.parent[self.parent] != self.parent).any():
+                self.parent = self.parent[self.parent]
+
+
+def _links_of_tile(model: Quantiser, here: int, x, q, codes, missed, x_reps, q_reps, x_n, q_n, both, cosine: float, reach: float):
+    """(links of each query, links of each stored vector, forest) of one tile.
 
+    ``both`` (stored, queries) is called with pairs and says which of them are also found the other way round, with
+    the stored vector as query; such a pair counts for its query only.
+    """
+    m, _, sub = model.books.shape
+    of_q, of_x = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
+    ids, node = np.unique(np.r_[q_reps, x_reps], return_inverse=True)
+    forest = _Forest(len(ids))
     for k in range(0, len(q), 256):
         some = q[k : k + 256]
-        residual = (some - model.centres[own[0]]).reshape(len(some), m, sub)
+        residual = (some - model.centres[here]).reshape(len(some), m, sub)
         approximate = np.zeros((len(some), len(x)), np.float32)
         for j in range(m):
-            book = model.books[j]
-            lookup = ((residual[:, j, None, :] - book[None]) ** 2).sum(axis=2).astype(np.float32)
+            lookup = ((residual[:, j, None, :] - model.books[j][None]) ** 2).sum(axis=2).astype(np.float32)
             approximate += lookup[:, codes[:, j]]
-        a, b = np.nonzero(np.sqrt(approximate) <= reach + missed[None] + 1e-4)
-        differ = q_id[k + a] != x_id[b]
+        a, b = np.nonzero(approximate <= (reach + missed[None] + 1e-4) ** 2)
+        differ = q_reps[k + a] != x_reps[b]
         a, b = a[differ], b[differ]
-        exact = np.einsum("ij,ij->i", some[a], x[b])
-        a, b = a[exact >= cosine], b[exact >= cosine]
-        np.add.at(counts, k + a, x_n[b])
-        for i, j in zip(q_id[k + a].tolist(), x_id[b].tolist(), strict=True):
-            u, v = root(i), root(j)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                forest.append((i, j))
-    return counts, forest
+        exact = np.concatenate([np.einsum("ij,ij->i", some[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
+        a, b = a[exact >= cosine] + k, b[exact >= cosine]
+        np.add.at(of_q, a, x_n[b])
+        once = ~both(b, a)
+        np.add.at(of_x, b[once], q_n[a[once]])
+        forest.add(node[a], node[len(q) + b])
+    edges = np.concatenate(forest.edges or [np.zeros((0, 2), np.int64)])
+    return of_q, of_x, ids[edges]
 
 
 def embedding_dedup(
-    vectors: DataFrame, cosine: float = 0.93, lists: int | None = None, subspaces: int = 8, codewords: int = 64, sample_rows: int = 8192, tile: int = 512,
-    fitted_lengths: int = 16,
+    vectors: DataFrame, cosine: float = 0.93, lists: int | None = None, probes: int = 4, subspaces: int = 8, codewords: int = 64, sample_rows: int = 8192, tile: int = 2048,
+    fitted_lengths: int = 16, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
@@ -132,77 +154,98 @@ def embedding_dedup(
     or hold null or non-finite components link with nothing. Vectors of different lengths don't link, and each length has
     lists of its own: the ``fitted_lengths`` most common ones have a quantiser each, fitted on ``sample_rows`` vectors at
     most, chosen by a hash; the vectors of any other length are one list per label, in tiles like every list. Every
-    vector is indexed. ``lists`` follows the square root of the number of vectors per label and length unless given. Equal vectors are
-    linked with each other; a repeated row counts as another vector. Rows without an id link with
-    nothing and are not kept; rows with the same id are one node. Other columns are not read; an empty table gives no rows.
+    vector is indexed. ``lists`` follows the square root of the number of vectors per label and length unless given, and a
+    vector is looked for in the ``probes`` whose cells are nearest. Equal vectors are linked with each other; a repeated row counts
+    as another vector. Rows without an id link with nothing and are not kept; rows with the same id are one node. Other
+    columns are not read; an empty table gives no rows.
     """
-    d = F.col("embedding").cast("array<double>")
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, v: a + v * v))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), d.alias("d"), norm.alias("norm"))
-    bad = F.coalesce(F.exists("d", lambda v: v.isNull() | F.isnan(v)), F.lit(True)) | F.col("norm").isNull() | F.isnan("norm") | F.col("norm").isin(0.0, float("inf")) | F.col("label").isNull() | F.col("vec_id").isNull()
-    unit = F.when(~bad, F.transform("d", lambda v: v / F.col("norm")))
-    keyed = rows.select("vec_id", "label", unit.alias("v"), F.xxhash64("label", "d").alias("h"))
-
-    usable = keyed.where("v is not null")
-    groups = cut(usable.groupBy("label", "h", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    groups = groups.withColumn("size", F.size("v"))
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = "<f4" if element == "float" else "<f8"
+    label_type = vectors.schema["label"].dataType.simpleString()
+    reach = float(np.sqrt(2 - 2 * cosine))
+
+    def pack(batches):
+        for batch in batches:
+            column, n = batch.column(2), batch.num_rows
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+            flat = column.flatten()
+            values = np.asarray(pc.fill_null(flat, float("nan")), kind)
+            wrong = np.r_[0, np.cumsum(~np.isfinite(values))]
+            some = np.r_[0, np.cumsum(values != 0)]
+            starts = np.r_[0, ends[:-1]].astype(int)
+            fit = (wrong[ends] == wrong[starts]) & (some[ends] > some[starts]) & np.asarray(batch.column(0).is_valid()) & np.asarray(batch.column(1).is_valid())
+            raw = [values[a:b].tobytes() if ok else None for a, b, ok in zip(starts.tolist(), ends.tolist(), fit.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary()), pa.array((ends - starts).astype(np.int32) if n else [], pa.int32())], names=["vec_id", "label", "v", "size"])
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").cast(f"array<{'float' if kind == '<f4' else 'double'}>").alias("embedding"))
+    packed = rows.mapInArrow(pack, f"vec_id long, label {label_type}, v binary, size int")
+    keyed = packed.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(29), "v"))
+    group = ["label", "size", "h1", "h2"]
+    groups = cut(keyed.where("v is not null").groupBy(*group, "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+
     models = {}
     common = groups.groupBy("size").agg(F.count(F.lit(1)).alias("total"), F.count_distinct("label").alias("labels")).orderBy(F.desc("total"), "size").limit(fitted_lengths)
     for size, total, labels in common.collect():
         share, same = min(1.0, sample_rows / total), groups.where(F.col("size") == size)
         sample = same.where(F.pmod(F.xxhash64(F.lit(5), "rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("v").limit(sample_rows).collect() or same.select("v").limit(1).collect()
-        models[size] = fit_quantiser(np.array([r["v"] for r in sample]), lists or max(1, round((total / labels) ** 0.5 / 4)), subspaces, codewords)
+        models[size] = fit_quantiser(_decoded([r["v"] for r in sample], kind, size), lists or max(1, round((total / labels) ** 0.5 / 4)), subspaces, codewords)
 
     def model_of(size: int) -> Quantiser:
         # one list and one codeword at the origin rule nothing out, so every pair of the list is compared
         return models[size] if size in models else Quantiser(np.zeros((1, size)), np.zeros((1, 1, size)))
 
-    reach = float(np.sqrt(2 - 2 * cosine))
-
     def assign(batches):
         for mixed in batches:
-            sizes = np.asarray(mixed.column(4))
+            sizes = np.asarray(mixed.column(1))
             for size in np.unique(sizes).tolist():
                 batch = mixed.take(pa.array(np.flatnonzero(sizes == size)))
-                column, model = batch.column(1), model_of(size)
-                v = np.asarray(column.flatten(), np.float64).reshape(batch.num_rows, size)
-                own = model.nearest(v)
-                near = model.probes(v, own, reach)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32)), pa.array([np.flatnonzero(r).astype(np.int32) for r in near], pa.list_(pa.int32()))], names=["label", "v", "rep", "n", "size", "list", "probes"])
-
-    label_type = groups.schema["label"].dataType.simpleString()
-    indexed = cut(groups.select("label", "v", "rep", "n", "size").mapInArrow(assign, f"label {label_type}, v array<double>, rep long, n long, size int, list int, probes array<int>"))
-    stored = indexed.select("label", "size", "list", "rep", "n", "v")
-    queries = indexed.select("label", "size", F.explode("probes").alias("list"), "rep", "v")
-    sizes = stored.groupBy("label", "size", "list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("x_tiles"))
-    asked = queries.groupBy("label", "size", "list").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("q_tiles"))
-    # every (label, size, list) has a stored vector or is not asked for; its tiles are numbered (stored part, query part)
-    grid = cut(sizes.join(asked, ["label", "size", "list"]))
-    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
-    left = stored.join(grid, ["label", "size", "list"]).select("label", "size", "list", "rep", "n", "v", part("x_tiles", 1).alias("xt"), F.explode(F.sequence(F.lit(0), F.col("q_tiles") - 1)).alias("qt"))
-    right = queries.join(grid, ["label", "size", "list"]).select("label", "size", "list", "rep", "v", part("q_tiles", 2).alias("qt"), F.explode(F.sequence(F.lit(0), F.col("x_tiles") - 1)).alias("xt"))
+                model, x = model_of(size), _decoded(batch.column(2).to_pylist(), kind, size)
+                own = model.nearest(x)
+                codes, missed = model.encode(x, own)
+                probed = model.probes(x, own, reach, probes)
+                yield pa.RecordBatch.from_arrays([
+                    *batch.columns, pa.array(own.astype(np.int32)), pa.array([r[r >= 0].astype(np.int32) for r in probed], pa.list_(pa.int32())),
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(missed.astype(np.float32)),
+                ], names=["label", "size", "v", "rep", "n", "list", "probed", "code", "missed"])
+
+    indexed = cut(groups.select("label", "size", "v", "rep", "n").mapInArrow(assign, f"label {label_type}, size int, v binary, rep long, n long, list int, probed array<int>, code binary, missed float"))
+    stored = indexed.select("label", "size", "list", "rep", "n", "v", "probed", "code", "missed")
+    queries = indexed.select("label", "size", F.explode("probed").alias("list"), "rep", "n", "v", F.col("list").alias("home"))
+
+    # A list of more than one tile has its stored vectors and its queries dealt over numbered tiles; other lists are one.
+    list_key = ["label", "size", "list"]
+    counts = lambda df, name: df.groupBy(*list_key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(name))
+    grid = cut(counts(stored, "x_tiles").join(counts(queries.select(*list_key), "q_tiles"), list_key).where("x_tiles > 1 or q_tiles > 1"))
+    large = F.broadcast(grid) if grid.count() <= broadcast_rows else grid
+    part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    left = stored.join(large, list_key, "left").select(*stored.columns, part("x_tiles", 1).alias("xt"), copies("q_tiles").alias("qt"))
+    right = queries.join(large, list_key, "left").select(*queries.columns, part("q_tiles", 2).alias("qt"), copies("x_tiles").alias("xt"))
     right = right.toDF(*[f"q_{c}" for c in right.columns])
 
-    def run(stored_tile: pd.DataFrame, query_tile: pd.DataFrame) -> pd.DataFrame:
-        if not len(stored_tile) or not len(query_tile):
+    def run(key, x_tile: pd.DataFrame, q_tile: pd.DataFrame) -> pd.DataFrame:
+        if not len(x_tile) or not len(q_tile):
             return pd.DataFrame({"rep": [], "other": [], "links": []})
-        counts, forest = _links_of_tile(stored_tile, query_tile, model_of(int(stored_tile["size"].iloc[0])), cosine, reach)
-        some = counts > 0
-        ends = np.array(forest, np.int64).reshape(-1, 2)
-        return pd.DataFrame({
-            "rep": np.r_[query_tile["q_rep"].to_numpy()[some], ends[:, 0]], "other": pd.array([pd.NA] * int(some.sum()) + ends[:, 1].tolist(), "Int64"),
-            "links": np.r_[counts[some], np.zeros(len(ends), np.int64)],
-        })
-
-    key = ["label", "size", "list", "xt", "qt"]
+        size, here = int(key[1]), int(key[2])
+        model = model_of(size)
+        homes, probed = q_tile["q_home"].to_numpy(), x_tile["probed"].to_numpy()
+        width = max(map(len, probed))
+        asked = np.array([np.r_[p, np.full(width - len(p), -1)] for p in probed])
+        of_q, of_x, edges = _links_of_tile(
+            model, here, _decoded(x_tile["v"], kind, size), _decoded(q_tile["q_v"], kind, size), np.frombuffer(b"".join(x_tile["code"]), np.uint8).reshape(len(x_tile), -1), x_tile["missed"].to_numpy(),
+            x_tile["rep"].to_numpy(), q_tile["q_rep"].to_numpy(), x_tile["n"].to_numpy(), q_tile["q_n"].to_numpy(), lambda i, j: (asked[i] == homes[j][:, None]).any(axis=1), cosine, reach,
+        )
+        reps, links = np.r_[q_tile["q_rep"].to_numpy(), x_tile["rep"].to_numpy()], np.r_[of_q, of_x]
+        some = links > 0
+        return pd.DataFrame({"rep": np.r_[reps[some], edges[:, 0]], "other": pd.array([pd.NA] * int(some.sum()) + edges[:, 1].tolist(), "Int64"), "links": np.r_[links[some], np.zeros(len(edges), np.int64)]})
+
+    key = [*list_key, "xt", "qt"]
     found = cut(left.groupBy(*key).cogroup(right.groupBy(*[f"q_{c}" for c in key])).applyInPandas(run, "rep long, other long, links long"))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    reps = cut(
-        groups.select("label", "h", "rep", "n", "v").join(counts, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "h", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
-    )
-    joined = keyed.join(reps, ["label", "h", "v"], "left")
+    reps = groups.select(*group, "rep", "n").join(linked, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    reps = cut(reps.select(*group, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"), F.lit(True).alias("usable")))
+    joined = keyed.withColumn("usable", F.col("v").isNotNull()).select("vec_id", *group, "usable").join(reps, [*group, "usable"], "left")
     own = F.coalesce("c", "vec_id")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept")

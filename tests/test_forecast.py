@@ -78,7 +78,7 @@ def test_knn_imputer():
     assert imputer.fill(np.array([[1.4, nan], [nan, nan], [2.0, 1.0]])).tolist() == [[1.4, 15.0], [5.0, 20.0], [2.0, 1.0]]
 
 
-def test_models_train_score_and_forecast(spark):
+def test_models_train_score_and_forecast(spark, tmp_path):
     rows = spark.createDataFrame([(T0 + timedelta(hours=i), float(i % 24), float(i % 12)) for i in range(240)], "timestamp timestamp_ntz, p double, c double")
     trained = ml.train_and_select(rows, ("linear", "tree"), ("p", "c"), lookback=24)
     assert min(s[1] for s in trained.scores) < 0.2
@@ -90,6 +90,50 @@ def test_models_train_score_and_forecast(spark):
     assert T0 + timedelta(hours=238) in score and len(score) == 240 - 24 - 1 and one["p"] == pytest.approx(23.0, abs=4)
     with pytest.raises(ValueError):
         trained.forecast(rows.limit(5), 1)
+    back = trained.backtest(rows, 6).collect()
+    assert len(back) == 12 and {r["step"] for r in back} == set(range(1, 7)) and all(abs(r["actual"] - r["forecast"]) < 6 for r in back)
+    path = str(tmp_path / "trained")
+    trained.save(spark, path)
+    again = ml.load(spark, path)
+    assert again.scores == trained.scores and again.test == trained.test and [tuple(r) for r in again.forecast(rows, 3).orderBy("step").collect()] == [tuple(r) for r in forecast]
+    gaps = rows.withColumn("p", F.when(F.hour("timestamp") != 3, F.col("p")))
+    assert [tuple(r) for r in again.score(gaps).orderBy("timestamp").limit(5).collect()] == [tuple(r) for r in trained.score(gaps).orderBy("timestamp").limit(5).collect()]
+
+
+def test_test_rows_have_no_say_in_the_choice(spark):
+    rng = np.random.default_rng(3)
+    values = [(T0 + timedelta(hours=i), float(i % 24 + rng.normal()), float(i % 12)) for i in range(200)]
+    other = [v if i < 160 else (v[0], -1000.0 * i, 5.0) for i, v in enumerate(values)]
+    a, b = (ml.train_and_select(spark.createDataFrame(v, "timestamp timestamp_ntz, p double, c double"), ("tree", "linear"), ("p", "c"), lookback=12) for v in (values, other))
+    assert a.scores == b.scores and a.test != b.test
+
+
+def test_linear_family_is_ridge_regression(spark):
+    """One-step predictions of the linear family against the closed form."""
+    rng = np.random.default_rng(6)
+    y = np.cumsum(rng.normal(size=150))
+    rows = spark.createDataFrame([(T0 + timedelta(hours=i), float(v), float(i % 5)) for i, v in enumerate(y)], "timestamp timestamp_ntz, p double, c double")
+    got = ml.train_and_select(rows, ("linear",), ("p", "c"), lookback=4, params={"linear": {"regParam": 0.0, "solver": "normal"}})
+    data = np.column_stack([y, np.arange(150) % 5])
+    low, high = data[:108].min(0), data[:108].max(0)  # 150 - 30 test rows - 12 validation rows
+    z = (data - low) / (high - low)
+    windows = lambda a, b: np.array([np.r_[1.0, z[i - 4 : i].ravel()] for i in range(a, b)])
+    w, *_ = np.linalg.lstsq(windows(4, 107), z[4:107], rcond=None)
+    want = windows(4, 149) @ w * (high - low) + low
+    found = np.array([r["prediction"] for r in got.score(rows).orderBy("timestamp").collect()])
+    assert np.allclose(found, want, atol=1e-6)
+    assert got.scores[0][1] == pytest.approx(np.abs(windows(108, 120) @ w - z[108:120]).mean(), abs=1e-6) and got.test[0] == pytest.approx(np.abs(windows(120, 150) @ w - z[120:150]).mean(), abs=1e-6)
+
+
+def test_searches(spark):
+    rows = spark.createDataFrame([(T0 + timedelta(hours=i), float(i % 24), float(i % 7)) for i in range(150)], "timestamp timestamp_ntz, p double, c double")
+    grid = {"stepSize": (0.3, 0.001), "subsamplingRate": (1.0,), "maxIter": (2, 8)}
+    found = ml.grid_search(rows, ("p", "c"), grid, lookback=6, columns=("p", "c"))
+    assert len(found) == 4 and found[0][0] == {"stepSize": 0.3, "subsamplingRate": 1.0, "maxIter": 8} and found[0][1] > 0.99 > found[-1][1]
+    tries = ml.guided_search(rows, "p", {"maxDepth": (1, 8), "minInfoGain": (1e-6, 1e-1, "log")}, tries=7, first=3, lookback=6, family="tree", columns=("p", "c"))
+    assert len(tries) == 7 and tries[0][1] <= tries[-1][1] and all(isinstance(p["maxDepth"], int) for p, _ in tries)
+    gain = ml._expected_gain(np.array([[0.1], [0.9]]), np.array([0.0, 1.0]), np.array([[0.1], [0.3], [0.9]]))
+    assert gain.argmax() == 1
 
 
 def test_folds_and_autoregression(spark):

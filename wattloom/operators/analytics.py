@@ -65,7 +65,8 @@ def daily_mean(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP) -> Da
 def box_statistics(df: DataFrame, value: str, by: Sequence[str], method: str = "linear") -> DataFrame:
     """Quartiles, whiskers (the outmost values within 1.5 interquartile ranges) and outliers per group, in one grouping and one join.
 
-    ``method``: "linear" puts quantile p at (n - 1) p, "hazen" at n p - 1/2.
+    ``method``: "linear" puts quantile p at (n - 1) p, "hazen" at n p - 1/2. Exact quantiles keep the distinct values of a
+    group on one task: give it an hourly frame, or groups of a size that a task holds.
     """
     rows = df.where(F.col(value).isNotNull())
     if method == "linear":
@@ -113,7 +114,7 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, mean, std, std_pop, min, q1, median, q3, max), exact, one grouping over the long form."""
+    """(column, n, mean, std, std_pop, min, q1, median, q3, max), exact, one grouping over the long form; a column's distinct values are held by one task."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
     return long.groupBy("column").agg(
         F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.stddev_pop("v").alias("std_pop"), F.min("v").alias("min"),

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattloom.operators.ranks import running_sums
+
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_rows, n_null) in one pass."""
@@ -18,15 +20,14 @@ def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def ks_statistic(base: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_base, n_current, d): the two-sample Kolmogorov-Smirnov distance of every column; nulls are left out.
 
-    Equal values are added up before the running sums, so ties are right and the ordered part has one row per value.
+    Equal values are added up before the running sums, so ties are right; the sums go over ranges of values, not one task.
     """
     long = lambda df, a, b: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"), F.lit(a).alias("a"), F.lit(b).alias("b")).select("x.column", "x.v", "a", "b")
     both = long(base, 1, 0).unionByName(long(current, 0, 1)).where("v is not null")
     ties = both.groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    running = Window.partitionBy("column").orderBy("v")
-    whole = Window.partitionBy("column")
-    steps = ties.select("column", F.sum("a").over(running).alias("ca"), F.sum("b").over(running).alias("cb"), F.sum("a").over(whole).alias("na"), F.sum("b").over(whole).alias("nb"))
-    gap = F.abs(F.try_divide("ca", "na") - F.try_divide("cb", "nb"))
+    whole = ties.groupBy("column").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    steps = running_sums(ties, ["v"], ["a", "b"], by="column").join(F.broadcast(whole), "column")
+    gap = F.abs(F.try_divide("upto_a", "na") - F.try_divide("upto_b", "nb"))
     return steps.groupBy("column").agg(F.first("na").alias("n_base"), F.first("nb").alias("n_current"), F.max(gap).alias("d"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,12 +137,29 @@ def strided(df: DataFrame, n: int, ts: str = TIMESTAMP, by: Sequence[str] = ())
 def tolerance_runs(df: DataFrame, value: str, tolerance: float = 0.01, ts: str = TIMESTAMP, by: Sequence[str] = ()) -> DataFrame:
     """(run, run_start, length): a new run begins when a value is more than ``tolerance`` from its run's first value.
 
-    Each run depends on where the one before began, so a series is folded in order; ``by`` spreads series over tasks.
+    Each run depends on where the one before began, so a series is read in order by one task, which keeps its open run
+    and nothing else; ``by`` spreads series over tasks. Null values are left out.
     """
-    listed = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")))).alias("rows"))
-    runs = F.expr(f"""
-        aggregate(filter(rows, r -> r.v is not null), cast(array() as array<struct<run_start:double,length:int>>), (a, r) ->
-          if(size(a) = 0 or abs(r.v - element_at(a, -1).run_start) > {tolerance},
-             concat(a, array(named_struct('run_start', r.v, 'length', 1))),
-             concat(slice(a, 1, size(a) - 1), array(named_struct('run_start', element_at(a, -1).run_start, 'length', element_at(a, -1).length + 1)))))""")
-    return listed.select(*by, F.posexplode(runs).alias("run", "r")).select(*by, "run", "r.run_start", "r.length")
+    keys = list(by)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(ts).alias("__t"), F.col(value).cast("double").alias("__v"))
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    kinds = ", ".join(f"`{c}` {dict(df.dtypes)[c]}" for c in keys)
+    names = [*keys, "run", "run_start", "length"]
+
+    def fold(frames):
+        series, run, start, length = None, 0, 0.0, 0
+        for pdf in frames:
+            out = []
+            ids = list(zip(*(pdf[c].tolist() for c in keys), strict=True)) if keys else [()] * len(pdf)
+            for now, v in zip(ids, pdf["__v"].tolist(), strict=True):
+                if length and now == series and abs(v - start) <= tolerance:
+                    length += 1
+                    continue
+                if length:
+                    out.append((*series, run, start, length))
+                run, series, start, length = (run + 1 if length and now == series else 0), now, v, 1
+            yield pd.DataFrame(out, columns=names)
+        if length:
+            yield pd.DataFrame([(*series, run, start, length)], columns=names)
+
+    return dealt.sortWithinPartitions(*keys, "__t").mapInPandas(fold, (kinds + ", " if keys else "") + "run int, run_start double, length int")

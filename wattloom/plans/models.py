@@ -1,28 +1,27 @@
-"""Queries whose results SQL can't express: fitted models, folds of a sequence, streams."""
+"""Queries over fitted models, folds of a sequence and streams; SQL where it can express them."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.operators import ml
 from wattloom.operators.timeseries import tolerance_runs
-from wattloom.plans.frames import events, hourly, long
+from wattloom.plans.frames import LONG_SQL, events, hourly, long, rounded
 from wattloom.schema import CONSUMPTION, FEATURES, TIMESTAMP
+from wattloom.shared import shared_folder
 from wattloom.streaming.hourly import hourly_means
 
-SMALL = {"gbt": {"maxIter": 3, "maxDepth": 3}, "forest": {"numTrees": 4, "maxDepth": 4}}
-
 
 def _trained(spark, d) -> ml.Trained:
-    return ml.train_and_select(hourly(spark, d), ("linear", "tree"), lookback=12)
+    return ml.train_and_select(hourly(spark, d), ("linear", "tree"))
 
 
 def gbt_train_select(spark, d) -> DataFrame:
     """Validation errors per family, least first (the first is kept)."""
-    trained = ml.train_and_select(hourly(spark, d), ("gbt", "forest"), columns=("SOLAR", CONSUMPTION), lookback=12, params=SMALL)
+    trained = ml.train_and_select(hourly(spark, d), ("gbt", "forest"))
     return spark.createDataFrame(sorted(trained.scores, key=lambda s: s[1]), "family string, mae double, mse double")
 
 
@@ -35,18 +34,34 @@ def recursive_forecast(spark, d) -> DataFrame:
     return _trained(spark, d).forecast(hourly(spark, d), 24)
 
 
+def backtest_24h(spark, d) -> DataFrame:
+    """Errors per column of a recursive forecast of the last day."""
+    gap = F.col("actual") - F.col("forecast")
+    return _trained(spark, d).backtest(hourly(spark, d), 24).groupBy("column").agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"))
+
+
 def model_zoo(spark, d) -> DataFrame:
-    trained = ml.train_and_select(hourly(spark, d), ("tree", "forest", "gbt", "linear"), columns=(CONSUMPTION,), lookback=12, params=SMALL)
+    trained = ml.train_and_select(hourly(spark, d), ("tree", "forest", "gbt", "linear"))
     return spark.createDataFrame(sorted(trained.scores, key=lambda s: s[1]), "family string, mae double, mse double")
 
 
-def random_search(spark, d) -> DataFrame:
-    found = ml.random_search(hourly(spark, d), CONSUMPTION, {"maxDepth": (2, 3), "maxIter": (2, 4)}, tries=2, lookback=6)
-    return spark.createDataFrame([(str(sorted(p.items())), m) for p, m in found], "parameters string, mae double")
+def _choices(spark, found, score: str) -> DataFrame:
+    return spark.createDataFrame([(str(sorted(p.items())), m) for p, m in found], f"parameters string, {score} double")
+
+
+def grid_search(spark, d) -> DataFrame:
+    """The whole grid over three folds, for consumption."""
+    return _choices(spark, ml.grid_search(hourly(spark, d), (CONSUMPTION,)), "r2")
+
+
+def guided_search(spark, d) -> DataFrame:
+    """Thirty guided tries over three expanding folds."""
+    space = {"maxDepth": (2, 10), "minInstancesPerNode": (1, 20), "minInfoGain": (1e-6, 1e-2, "log")}
+    return _choices(spark, ml.guided_search(hourly(spark, d), CONSUMPTION, space, family="tree"), "mae")
 
 
 def run_length_tolerance(spark, d) -> DataFrame:
-    return tolerance_runs(long(spark, d), "y", 5.0, "ds", ["unique_id"])
+    return rounded(tolerance_runs(long(spark, d), "y", 5.0, "ds", ["unique_id"]))
 
 
 def autoregression_24h(spark, d) -> DataFrame:
@@ -54,17 +69,29 @@ def autoregression_24h(spark, d) -> DataFrame:
 
 
 def streaming_hourly_means(spark, d) -> DataFrame:
-    """The event table as a stream of files, its hourly means as a table (an extension)."""
+    """The event table as a stream of files, its hourly means as a table (an extension). Each run has a folder of its own."""
     schema = events(spark, d).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.endswith("events.parquet") else spark.readStream.schema(schema).parquet(d)
-    name = "hourly_means_stream"
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wattloom-stream-")
-    run = hourly_means(stream, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder}/{name}-{spark.sparkContext.applicationId}-{abs(hash((d, id(stream))))}").trigger(availableNow=True).start()
+    folder = f"{shared_folder(spark)}/hourly-means-{uuid.uuid4().hex}"
+
+    def store(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result")
+
+    run = hourly_means(stream, ["event_type"]).writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return spark.table(name)
+    return rounded(spark.read.parquet(f"{folder}/result"), 6)
+
 
+MODELS = {f.__name__: f for f in (gbt_train_select, one_step_score, recursive_forecast, backtest_24h, model_zoo, grid_search, guided_search, run_length_tolerance, autoregression_24h, streaming_hourly_means)}
 
-MODELS = {f.__name__: f for f in (gbt_train_select, one_step_score, recursive_forecast, model_zoo, random_search, run_length_tolerance, autoregression_24h, streaming_hourly_means)}
+MODEL_SQL = {
+    "run_length_tolerance": f"""WITH RECURSIVE {LONG_SQL},
+ N AS MATERIALIZED (SELECT unique_id, y, row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS rn FROM L),
+ R AS (SELECT unique_id, rn, 0 AS run, y AS run_start FROM N WHERE rn = 1
+       UNION ALL SELECT n.unique_id, n.rn, r.run + CAST(abs(n.y - r.run_start) > 5.0 AS INTEGER), CASE WHEN abs(n.y - r.run_start) > 5.0 THEN n.y ELSE r.run_start END FROM R r JOIN N n ON n.unique_id = r.unique_id AND n.rn = r.rn + 1)
+ SELECT unique_id, run, round(any_value(run_start), 9) AS run_start, CAST(count(*) AS INTEGER) AS length FROM R GROUP BY unique_id, run""",
+    "streaming_hourly_means": "SELECT date_trunc('hour', ts) AS timestamp, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
+}

@@ -49,9 +49,9 @@ def tail_36_features(spark, d) -> DataFrame:
     return rounded(select_features(TS.tail(hourly(spark, d), 36), (TIMESTAMP, *FEATURES)))
 
 
-@query("SELECT date_trunc('second', ts) AS timestamp, event_type AS production_type, value FROM events WHERE event_id % 7 <> 0")
+@query("SELECT date_trunc('second', ts) AS timestamp, event_type AS production_type, value FROM events")
 def json_extract_union(spark, d) -> DataFrame:
-    rows = events(spark, d).select("event_type", TS.trunc("day", "ts").alias("day"), F.struct(F.concat(F.date_format(F.expr("ts + interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("start_date"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value")).alias("v"))
+    rows = events(spark, d).select("event_type", TS.trunc("day", "ts").alias("day"), F.struct(F.concat(F.date_format(F.expr("ts + interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("start_date"), F.col("value")).alias("v"))
     series = rows.groupBy("day", "event_type").agg(F.collect_list("v").alias("values"))
     docs = series.groupBy("day").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_type").alias("production_type"), "values")).alias("actual_generations_per_production_type"))).alias("value"))
     return parse_generation(docs)
@@ -454,10 +454,10 @@ def _knn_sql() -> str:
         for c in FEATURES
     ]
     columns = ", ".join(f"round(coalesce(t.{c}, (SELECT v FROM f WHERE f.timestamp = t.timestamp AND f.c = '{c}'), (SELECT avg({c}) FROM t)), 8) AS {c}" for c in FEATURES)
-    return f"WITH {RAW_SQL}, t AS (SELECT * FROM raw ORDER BY timestamp LIMIT 200), f AS ({' UNION ALL '.join(filled)}) SELECT timestamp, {columns} FROM t"
+    return f"WITH {RAW_SQL}, t AS (SELECT * FROM raw), f AS ({' UNION ALL '.join(filled)}) SELECT timestamp, {columns} FROM t"
 
 
 @query(_knn_sql())
 def knn_impute_k3(spark, d) -> DataFrame:
-    first = hourly_raw(spark, d).orderBy(TIMESTAMP).limit(200)
-    return rounded(fit_knn(first).transform(first), 8)
+    frame = hourly_raw(spark, d)
+    return rounded(fit_knn(frame).transform(frame), 8)

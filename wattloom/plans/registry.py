@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wattloom.plans.models import MODELS
+from wattloom.plans.models import MODEL_SQL, MODELS
 from wattloom.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "daily_deficit_mean"
@@ -13,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | MODEL_SQL

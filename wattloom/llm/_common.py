@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattloom.shared import cut  # noqa: F401  the operators take it from here
+
 #: White space of the word rules: the space and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id inside a job; it is turned back into null in results.
@@ -20,24 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, release: bool = False) -> DataFrame:
-    """Checkpoint ``df`` eagerly in the folder that the cluster shares (spark.checkpoint.dir).
-
-    With ``release`` the driver is asked to collect its garbage, on which Spark deletes the shuffle files of steps that
-    nothing refers to any more; else these stay on the executors' disks until the driver happens to.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wattloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    done = df.checkpoint(eager=True)
-    if release:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return done
-
-
 def n_words(text: Column | str) -> Column:
     """Words of a text as a long; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -1,25 +1,29 @@
 """License scans by a trained paragraph classifier.
 
-A paragraph is a line. Its word uni- and bigrams that occur in a license template are sparse features of a multinomial
-logistic regression with a class for everything else; it is trained on the templates, on copies of them with words
-left out, and on a bounded sample of corpus lines. The least probability that counts is calibrated on lines kept out
-of training. A prediction is confirmed if the paragraph and a template of that family share enough of their grams.
+Paragraphs end at blank lines; their lines may be wrapped anywhere. A paragraph is judged as a whole and line by line,
+as a notice may be a single line among others. The word uni- and bigrams that occur in a license template are sparse
+features of a multinomial logistic regression with a class for everything else; it is trained on the templates, on
+copies of them with words left out, and on bounded samples of corpus lines, plain ones and ones that speak of licenses.
+The least probability that counts is calibrated on lines kept out of training. A prediction is confirmed if the
+paragraph and a template of that family share enough of their grams.
 
 Scoring is row-local DataFrame code without a shuffle, and texts without a feature word are settled by one set
-comparison.
+comparison. A gram finds its weights by its hash, in a table of slots that hold one feature each.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import cut
+
 #: Fixed texts: usual notices of license families.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -75,9 +79,23 @@ def _literal(values, kind: str = "array<string>") -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+def _slot(gram: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), gram), F.lit(slots)).cast("int")
+
+
+def similarity(templates, g: Column, family: Column | None = None) -> Column:
+    """Largest share of a template's grams, or of the paragraph's grams ``g`` if it is the shorter, that both have; 0 without a template of the family."""
+    own = _literal([{"family": f, "g": _grams(t)} for f, t in templates], "array<struct<family:string,g:array<string>>>")
+    shared = lambda t: F.size(F.array_intersect(t["g"], g)) / F.greatest(F.lit(1), F.least(F.size(t["g"]), F.greatest(F.size(g), F.lit(5))))
+    return F.coalesce(F.array_max(F.transform(own if family is None else F.filter(own, lambda t: t["family"] == family), shared)), F.lit(0.0))
+
+
 @dataclass(frozen=True)
 class LicenseModel:
-    """weights: one row per feature of ``vocabulary``, one number per family; bias alike. threshold: least probability that counts."""
+    """weights: one row per feature of ``vocabulary``, one number per family; bias alike. threshold: least probability that counts.
+
+    slots: for every slot the number of its feature in ``vocabulary``, or -1; a gram's slot is its hash.
+    """
 
     families: tuple[str, ...]
     vocabulary: tuple[str, ...]
@@ -85,6 +103,7 @@ class LicenseModel:
     bias: tuple[float, ...]
     threshold: float
     templates: tuple[tuple[str, str], ...]
+    slots: tuple[int, ...]
 
     def _cues(self) -> list[str]:
         return sorted({w for g in self.vocabulary for w in g.split()} - STOP)
@@ -95,19 +114,17 @@ class LicenseModel:
 
     def _best(self, g: Column) -> Column:
         """struct<probability, family> of the most probable class for the grams ``g``."""
-        table = _literal(self.weights, "array<array<double>>")
-        known = F.array_intersect(g, _literal(self.vocabulary))
-        rows = F.transform(known, lambda x: F.element_at(table, F.array_position(_literal(self.vocabulary), x).cast("int")))
+        none = [0.0] * len(self.families)
+        table = _literal([{"g": self.vocabulary[k], "w": self.weights[k]} if k >= 0 else {"g": None, "w": none} for k in self.slots], "array<struct<g:string,w:array<double>>>")
+        found = F.transform(g, lambda x: F.struct(x.alias("x"), F.element_at(table, _slot(x, len(self.slots)) + 1).alias("f")))
+        rows = F.transform(F.filter(found, lambda y: y["f"]["g"] == y["x"]), lambda y: y["f"]["w"])
         scores = F.aggregate(rows, _literal(self.bias, "array<double>"), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
         exps = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
         shares = F.transform(exps, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
         return F.transform(shares, lambda p: F.struct(F.array_max(p).alias("probability"), F.element_at(_literal(self.families), F.array_position(p, F.array_max(p)).cast("int")).alias("family")))[0]
 
     def _similarity(self, g: Column, family: Column) -> Column:
-        """Largest share of a template's grams, or of the paragraph's grams if it is the shorter, that both have."""
-        own = _literal([{"family": f, "g": _grams(t)} for f, t in self.templates], "array<struct<family:string,g:array<string>>>")
-        shared = lambda t: F.size(F.array_intersect(t["g"], g)) / F.greatest(F.lit(1), F.least(F.size(t["g"]), F.greatest(F.size(g), F.lit(5))))
-        return F.coalesce(F.array_max(F.transform(F.filter(own, lambda t: t["family"] == family), shared)), F.lit(0.0))
+        return similarity(self.templates, g, family)
 
     def judge(self, paragraph: Column, confirm: float) -> Column:
         """struct<probability, family, similarity, confirmed> of one paragraph."""
@@ -123,59 +140,93 @@ def _dropped(text: Column, copy: Column) -> Column:
     return F.when(copy == 0, text).otherwise(F.array_join(F.filter(parts, lambda w, i: F.pmod(F.xxhash64(w, i, copy), F.lit(6)) != 0), " "))
 
 
-def fit_licenses(docs: DataFrame, templates=TEMPLATES, others=OTHERS, copies: int = 12, sample_rows: int = 2000, error: float = 0.01) -> LicenseModel:
-    """Trains on templates, their copies, ``others`` and at most ``sample_rows`` corpus lines (chosen by a hash of doc_id).
+def _slots(docs: DataFrame, vocabulary: tuple[str, ...]) -> tuple[int, ...]:
+    """A table in which every feature has a slot of its own: its size is doubled until no two features share one."""
+    grams_ = docs.sparkSession.createDataFrame([(k, g) for k, g in enumerate(vocabulary)], "k int, g string")
+    size = 1024
+    while True:
+        rows = grams_.select("k", _slot(F.col("g"), size).alias("s")).collect()
+        if len({r["s"] for r in rows}) == len(rows):
+            table = [-1] * size
+            for r in rows:
+                table[r["s"]] = r["k"]
+            return tuple(table)
+        size *= 2
+
+
+def _other_lines(docs: DataFrame, templates, sample_rows: int, unlike: float) -> DataFrame:
+    """(line): ``sample_rows`` corpus lines, and as many that speak of licenses but are no notice; the least of a hash over all lines of all texts, so a rerun finds the same."""
+    text = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
+    lines = text.select("id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("trim(line) <> ''")
+    lines = lines.withColumn("rank", F.xxhash64(F.lit(23), "id", "i", "line"))
+    speaks = F.lower("line").rlike("licen|copyright|permission|redistribut|warrant")
+    least = lambda df: df.orderBy("rank", "id", "i").limit(sample_rows).select("line")
+    hard = lines.where(speaks).where(similarity(templates, grams(words(F.col("line")))) < unlike)
+    return least(lines.where(~speaks)).unionByName(least(hard))
+
+
+def fit_licenses(docs: DataFrame, templates=TEMPLATES, others=OTHERS, copies: int = 12, sample_rows: int = 2000, error: float = 0.01, unlike: float = 0.4) -> LicenseModel:
+    """Trains on templates, their copies, ``others``, at most ``sample_rows`` plain corpus lines and as many that speak of licenses and share less than ``unlike`` with every template.
 
     Every fourth row is kept out of training; the threshold is the probability of a family that no more than
-    ``error`` of the kept-out lines of no family reach, and at least one half.
+    ``error`` of the kept-out lines of no family reach, at least one half and 0.9 at most.
     """
     spark = docs.sparkSession
     families = (UNKNOWN, *sorted({f for f, _ in templates}))
     vocabulary = tuple(sorted({g for _, t in templates for g in _grams(t) if any(w not in STOP and len(w) > 1 for w in g.split())}))
+    slots = _slots(docs, vocabulary)
     fixed = spark.createDataFrame([(families.index(f), t) for f, t in templates] + [(0, t) for t in others], "label int, line string")
     made = fixed.select("label", F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("copy"), "line").select("label", _dropped(F.col("line"), F.col("copy")).alias("line"))
-    lines = docs.where(F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(50)) == 0).select(F.explode(F.slice(F.split(F.col("text").cast("string"), "\n"), 1, 4)).alias("line"))
-    plain = lines.where(~F.lower("line").rlike("licen|copyright|permission|redistribut|warrant")).limit(sample_rows)
-    rows = made.unionByName(plain.select(F.lit(0).alias("label"), "line")).withColumn("g", grams(words(F.col("line"))))
+    rows = made.unionByName(_other_lines(docs, templates, sample_rows, unlike).select(F.lit(0).alias("label"), "line")).withColumn("g", grams(words(F.col("line"))))
     vector = array_to_vector(F.transform(_literal(vocabulary), lambda v: F.when(F.array_contains(F.col("g"), v), 1.0).otherwise(0.0)))
-    rows = rows.select(F.col("label").cast("double").alias("label"), "g", vector.alias("features"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held")).coalesce(4).cache()
-    try:
-        fitted = LogisticRegression(family="multinomial", regParam=0.003, elasticNetParam=0.2, maxIter=60).fit(rows.where("not held").select("label", "features"))
-        matrix = fitted.coefficientMatrix.toArray()
-        bias = fitted.interceptVector.toArray()
-        full = [[float(matrix[k][j]) if k < len(bias) else 0.0 for k in range(len(families))] for j in range(len(vocabulary))]
-        model = LicenseModel(families, vocabulary, tuple(map(tuple, full)), tuple(float(bias[k]) if k < len(bias) else -9.0 for k in range(len(families))), 0.0, tuple(templates))
-        best = model._best(F.col("g"))
-        wrong = F.when(best["family"] == UNKNOWN, 0.0).otherwise(best["probability"])
-        limit = rows.where("held and label = 0").agg(F.percentile(wrong, F.lit(1 - error)).alias("p")).first()["p"]
-    finally:
-        rows.unpersist()
-    return LicenseModel(model.families, model.vocabulary, model.weights, model.bias, min(0.9, max(0.5, limit or 0.0)), model.templates)
+    rows = cut(rows.select(F.col("label").cast("double").alias("label"), "g", vector.alias("features"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held")).coalesce(4))
+    fitted = LogisticRegression(family="multinomial", regParam=0.003, elasticNetParam=0.2, maxIter=60).fit(rows.where("not held").select("label", "features"))
+    matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
+    full = [[float(matrix[k][j]) if k < len(bias) else 0.0 for k in range(len(families))] for j in range(len(vocabulary))]
+    free = LicenseModel(families, vocabulary, tuple(map(tuple, full)), tuple(float(bias[k]) if k < len(bias) else -9.0 for k in range(len(families))), 0.0, tuple(templates), slots)
+    best = free._best(F.col("g"))
+    wrong = F.when(best["family"] == UNKNOWN, 0.0).otherwise(best["probability"])
+    limit = rows.where("held and label = 0").agg(F.percentile(wrong, F.lit(1 - error)).alias("p")).first()["p"]
+    return replace(free, threshold=min(0.9, max(0.5, limit or 0.0)))
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, confirm: float = 0.6) -> DataFrame:
-    """One row per row of ``docs``: doc_id, licenses array<struct<paragraph, family, probability, similarity, confirmed>>.
+    """One row per row of ``docs``: doc_id, licenses array<struct<paragraph, line, family, probability, similarity, confirmed>>.
 
-    ``licenses`` has the paragraphs (numbered from 0) that the classifier gives a family. A null or empty text has
-    none. Other columns are not read; repeated rows get the same result; an empty table gives no rows.
+    ``licenses`` has the lines that the classifier gives a family (paragraph and line in it, both from 0), and the
+    paragraphs of several lines that it confirms as a whole (line is null) for a family that no line of theirs is confirmed
+    for. A null or empty text has none. Texts are read whole; other columns are not read; repeated rows get the same
+    result; an empty table gives no rows.
     """
     model = model or fit_licenses(docs)
     text = F.col("text").cast("string")
-    parts = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line"))), lambda x: model.may_have(x["line"]))
-    rows = docs.select("doc_id", F.when(model.may_have(text), parts).alias("parts"))
+
+    def units(x):
+        lines = F.split(x["p"], "\n")
+        each = F.filter(F.transform(lines, lambda line, j: F.struct(x["i"].alias("i"), j.alias("j"), line.alias("t"))), lambda u: model.may_have(u["t"]))
+        whole = F.array(F.struct(x["i"].alias("i"), F.lit(None).cast("int").alias("j"), x["p"].alias("t")))
+        return F.when(F.size(lines) > 1, F.concat(each, whole)).otherwise(each)
+
+    paragraphs = F.filter(F.transform(F.split(text, "\n[ \\t\r]*\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: model.may_have(x["p"]))
+    rows = docs.select("doc_id", F.when(model.may_have(text), F.flatten(F.transform(paragraphs, units))).alias("units"))
 
     def judged(x):
-        return F.transform(F.array(model.judge(x["line"], confirm)), lambda j: F.struct(x["i"].alias("paragraph"), j["family"].alias("family"), j["probability"].alias("probability"), j["similarity"].alias("similarity"), j["confirmed"].alias("confirmed")))[0]
+        return F.transform(
+            F.array(model.judge(x["t"], confirm)),
+            lambda j: F.struct(x["i"].alias("paragraph"), x["j"].alias("line"), j["family"].alias("family"), j["probability"].alias("probability"), j["similarity"].alias("similarity"), j["confirmed"].alias("confirmed")),
+        )[0]
 
-    found = F.filter(F.transform("parts", judged), lambda y: y["family"] != UNKNOWN)
-    return rows.select("doc_id", F.coalesce(found, F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double,confirmed:boolean>>")).alias("licenses"))
+    named = rows.select("doc_id", F.filter(F.transform("units", judged), lambda y: y["family"] != UNKNOWN).alias("y"))
+    known = lambda y: F.exists("y", lambda z: z["line"].isNotNull() & z["confirmed"] & (z["paragraph"] == y["paragraph"]) & (z["family"] == y["family"]))
+    found = F.filter("y", lambda y: y["line"].isNotNull() | (y["confirmed"] & ~known(y)))
+    return named.select("doc_id", F.coalesce(found, F.array().cast("array<struct<paragraph:int,line:int,family:string,probability:double,similarity:double,confirmed:boolean>>")).alias("licenses"))
 
 
 def digest_licenses(found: DataFrame) -> DataFrame:
-    """doc_id, families (confirmed, sorted, comma-joined), n_predicted, n_confirmed, lines (paragraph:family of the confirmed)."""
+    """doc_id, families (confirmed, sorted, comma-joined), n_predicted, n_confirmed, places (paragraph.line:family of the confirmed, or paragraph:family)."""
     sure = F.filter("licenses", lambda x: x["confirmed"])
+    place = lambda x: F.concat(F.concat_ws(".", x["paragraph"].cast("string"), x["line"].cast("string")), F.lit(":"), x["family"])
     return found.select(
         "doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda x: x["family"]))), ",").alias("families"),
-        F.size("licenses").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"),
-        F.array_join(F.transform(sure, lambda x: F.concat_ws(":", x["paragraph"].cast("string"), x["family"])), ",").alias("lines"),
+        F.size("licenses").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_confirmed"), F.array_join(F.transform(sure, place), ",").alias("places"),
     )

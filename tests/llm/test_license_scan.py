@@ -50,7 +50,7 @@ def plain(model, text):
     p = np.exp(scores - scores.max())
     p /= p.sum()
     family = model.families[int(p.argmax())] if p.max() >= model.threshold else L.UNKNOWN
-    shares = [len(g & set(L._grams(t))) / max(1, min(len(set(L._grams(t))), max(len(g), 5))) for f, t in model.templates if f == family]
+    shares = [len(g & set(L._grams(t))) / max(1, min(len(set(L._grams(t))), max(2 * len(words) - 1, 5))) for f, t in model.templates if f == family]
     return float(p.max()), family, max(shares, default=0.0)
 
 
@@ -59,7 +59,7 @@ def test_scores_match_plain_python(spark, model):
     pool = [w for _, t in L.TEMPLATES for w in t.split()] + ["river", "Über", "licence", "x1"]
     texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 40))) for _ in range(120)] + [t for _, t in L.TEMPLATES] + ["", " "]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = df.select("i", model.judge(F.col("t"), 0.6).alias("j")).orderBy("i").collect()
+    got = df.select("i", model.judge(model.grams(F.col("t")), 0.6).alias("j")).orderBy("i").collect()
     for r, t in zip(got, texts, strict=True):
         p, family, share = plain(model, t)
         assert r["j"]["family"] == family and r["j"]["probability"] == pytest.approx(p) and r["j"]["similarity"] == pytest.approx(share) and r["j"]["confirmed"] == (family != L.UNKNOWN and share >= 0.6)

@@ -8,13 +8,14 @@ The least probability that counts is calibrated on lines kept out of training. A
 paragraph and a template of that family share enough of their grams.
 
 Scoring is row-local DataFrame code without a shuffle, and texts without a feature word are settled by one set
-comparison. A gram finds its weights by its hash, in a table of slots that hold one feature each.
+comparison. A gram finds its weights by its hash, in a table of slots with one feature or none, seldom more.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.ml.classification import LogisticRegression
@@ -69,9 +70,15 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def grams(w: Column) -> Column:
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(w, pairs))
+def grams(text: Column, known: Sequence[str]) -> Column:
+    """struct<g, n>: the distinct uni- and bigrams of ``text`` that consist of ``known`` words, and the number of all its grams, repeats counted."""
+    mine = F.transform(words(text), lambda x: F.when(x.isin(*known), x).otherwise(""))
+
+    def make(w):
+        pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.when((a != "") & (b != ""), F.concat_ws(" ", a, b)).otherwise(""))
+        return F.struct(F.filter(F.array_distinct(F.concat(w, pairs)), lambda x: x != "").alias("g"), F.greatest(2 * F.size(w) - 1, F.lit(0)).alias("n"))
+
+    return F.transform(F.array(mine), make)[0]
 
 
 def _literal(values, kind: str = "array<string>") -> Column:
@@ -83,10 +90,14 @@ def _slot(gram: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), gram), F.lit(slots)).cast("int")
 
 
+def _template_words(templates) -> list[str]:
+    return sorted({w for _, t in templates for g in _grams(t) for w in g.split()})
+
+
 def similarity(templates, g: Column, family: Column | None = None) -> Column:
-    """Largest share of a template's grams, or of the paragraph's grams ``g`` if it is the shorter, that both have; 0 without a template of the family."""
+    """Largest share of a template's grams, or of as many as the paragraph ``g`` (struct<g, n>) has if these are fewer, that both have; 0 without a template of the family."""
     own = _literal([{"family": f, "g": _grams(t)} for f, t in templates], "array<struct<family:string,g:array<string>>>")
-    shared = lambda t: F.size(F.array_intersect(t["g"], g)) / F.greatest(F.lit(1), F.least(F.size(t["g"]), F.greatest(F.size(g), F.lit(5))))
+    shared = lambda t: F.size(F.array_intersect(t["g"], g["g"])) / F.greatest(F.lit(1), F.least(F.size(t["g"]), F.greatest(g["n"], F.lit(5))))
     return F.coalesce(F.array_max(F.transform(own if family is None else F.filter(own, lambda t: t["family"] == family), shared)), F.lit(0.0))
 
 
@@ -94,7 +105,7 @@ def similarity(templates, g: Column, family: Column | None = None) -> Column:
 class LicenseModel:
     """weights: one row per feature of ``vocabulary``, one number per family; bias alike. threshold: least probability that counts.
 
-    slots: for every slot the number of its feature in ``vocabulary``, or -1; a gram's slot is its hash.
+    slots: for every slot the numbers of its features in ``vocabulary``, seldom more than one; a gram's slot is its hash.
     """
 
     families: tuple[str, ...]
@@ -103,7 +114,7 @@ class LicenseModel:
     bias: tuple[float, ...]
     threshold: float
     templates: tuple[tuple[str, str], ...]
-    slots: tuple[int, ...]
+    slots: tuple[tuple[int, ...], ...]
 
     def _cues(self) -> list[str]:
         return sorted({w for g in self.vocabulary for w in g.split()} - STOP)
@@ -113,11 +124,9 @@ class LicenseModel:
         return F.coalesce(F.arrays_overlap(words(text), _literal(self._cues())), F.lit(False))
 
     def _best(self, g: Column) -> Column:
-        """struct<probability, family> of the most probable class for the grams ``g``."""
-        none = [0.0] * len(self.families)
-        table = _literal([{"g": self.vocabulary[k], "w": self.weights[k]} if k >= 0 else {"g": None, "w": none} for k in self.slots], "array<struct<g:string,w:array<double>>>")
-        found = F.transform(g, lambda x: F.struct(x.alias("x"), F.element_at(table, _slot(x, len(self.slots)) + 1).alias("f")))
-        rows = F.transform(F.filter(found, lambda y: y["f"]["g"] == y["x"]), lambda y: y["f"]["w"])
+        """struct<probability, family> of the most probable class for the grams ``g`` (struct<g, n>)."""
+        table = _literal([[{"g": self.vocabulary[k], "w": self.weights[k]} for k in some] for some in self.slots], "array<array<struct<g:string,w:array<double>>>>")
+        rows = F.flatten(F.transform(g["g"], lambda x: F.transform(F.filter(F.element_at(table, _slot(x, len(self.slots)) + 1), lambda f: f["g"] == x), lambda f: f["w"])))
         scores = F.aggregate(rows, _literal(self.bias, "array<double>"), lambda a, r: F.zip_with(a, r, lambda x, y: x + y))
         exps = F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
         shares = F.transform(exps, lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y)))
@@ -126,9 +135,12 @@ class LicenseModel:
     def _similarity(self, g: Column, family: Column) -> Column:
         return similarity(self.templates, g, family)
 
-    def judge(self, paragraph: Column, confirm: float) -> Column:
-        """struct<probability, family, similarity, confirmed> of one paragraph."""
-        steps = F.transform(F.array(grams(words(paragraph))), lambda g: F.struct(g.alias("g"), self._best(g).alias("b")))
+    def grams(self, text: Column) -> Column:
+        return grams(text, _template_words(self.templates))
+
+    def judge(self, g: Column, confirm: float) -> Column:
+        """struct<probability, family, similarity, confirmed> of a paragraph's grams."""
+        steps = F.transform(F.array(g), lambda x: F.struct(x.alias("g"), self._best(x).alias("b")))
         known = lambda s: F.when(s["b"]["probability"] >= self.threshold, s["b"]["family"]).otherwise(UNKNOWN)
         named = F.transform(steps, lambda s: F.struct(s["b"]["probability"].alias("probability"), known(s).alias("family"), self._similarity(s["g"], known(s)).alias("similarity")))
         return F.transform(named, lambda n: F.struct(n["probability"].alias("probability"), n["family"].alias("family"), n["similarity"].alias("similarity"), ((n["family"] != UNKNOWN) & (n["similarity"] >= confirm)).alias("confirmed")))[0]
@@ -140,18 +152,12 @@ def _dropped(text: Column, copy: Column) -> Column:
     return F.when(copy == 0, text).otherwise(F.array_join(F.filter(parts, lambda w, i: F.pmod(F.xxhash64(w, i, copy), F.lit(6)) != 0), " "))
 
 
-def _slots(docs: DataFrame, vocabulary: tuple[str, ...]) -> tuple[int, ...]:
-    """A table in which every feature has a slot of its own: its size is doubled until no two features share one."""
-    grams_ = docs.sparkSession.createDataFrame([(k, g) for k, g in enumerate(vocabulary)], "k int, g string")
-    size = 1024
-    while True:
-        rows = grams_.select("k", _slot(F.col("g"), size).alias("s")).collect()
-        if len({r["s"] for r in rows}) == len(rows):
-            table = [-1] * size
-            for r in rows:
-                table[r["s"]] = r["k"]
-            return tuple(table)
-        size *= 2
+def _slots(docs: DataFrame, vocabulary: tuple[str, ...]) -> tuple[tuple[int, ...], ...]:
+    """The features dealt over four times as many slots."""
+    features, table = docs.sparkSession.createDataFrame([(k, g) for k, g in enumerate(vocabulary)], "k int, g string"), [()] * (4 * len(vocabulary))
+    for r in features.select("k", _slot(F.col("g"), len(table)).alias("s")).orderBy("k").collect():
+        table[r["s"]] += (r["k"],)
+    return tuple(table)
 
 
 def _other_lines(docs: DataFrame, templates, sample_rows: int, unlike: float) -> DataFrame:
@@ -161,7 +167,7 @@ def _other_lines(docs: DataFrame, templates, sample_rows: int, unlike: float) ->
     lines = lines.withColumn("rank", F.xxhash64(F.lit(23), "id", "i", "line"))
     speaks = F.lower("line").rlike("licen|copyright|permission|redistribut|warrant")
     least = lambda df: df.orderBy("rank", "id", "i").limit(sample_rows).select("line")
-    hard = lines.where(speaks).where(similarity(templates, grams(words(F.col("line")))) < unlike)
+    hard = lines.where(speaks).withColumn("g", grams(F.col("line"), _template_words(templates))).where(similarity(templates, F.col("g")) < unlike)
     return least(lines.where(~speaks)).unionByName(least(hard))
 
 
@@ -177,8 +183,8 @@ def fit_licenses(docs: DataFrame, templates=TEMPLATES, others=OTHERS, copies: in
     slots = _slots(docs, vocabulary)
     fixed = spark.createDataFrame([(families.index(f), t) for f, t in templates] + [(0, t) for t in others], "label int, line string")
     made = fixed.select("label", F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("copy"), "line").select("label", _dropped(F.col("line"), F.col("copy")).alias("line"))
-    rows = made.unionByName(_other_lines(docs, templates, sample_rows, unlike).select(F.lit(0).alias("label"), "line")).withColumn("g", grams(words(F.col("line"))))
-    vector = array_to_vector(F.transform(_literal(vocabulary), lambda v: F.when(F.array_contains(F.col("g"), v), 1.0).otherwise(0.0)))
+    rows = made.unionByName(_other_lines(docs, templates, sample_rows, unlike).select(F.lit(0).alias("label"), "line")).withColumn("g", grams(F.col("line"), _template_words(templates)))
+    vector = array_to_vector(F.transform(_literal(vocabulary), lambda v: F.when(F.array_contains(F.col("g.g"), v), 1.0).otherwise(0.0)))
     rows = cut(rows.select(F.col("label").cast("double").alias("label"), "g", vector.alias("features"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("held")).coalesce(4))
     fitted = LogisticRegression(family="multinomial", regParam=0.003, elasticNetParam=0.2, maxIter=60).fit(rows.where("not held").select("label", "features"))
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
@@ -203,16 +209,16 @@ def scan_licenses(docs: DataFrame, model: LicenseModel | None = None, confirm: f
 
     def units(x):
         lines = F.split(x["p"], "\n")
-        each = F.filter(F.transform(lines, lambda line, j: F.struct(x["i"].alias("i"), j.alias("j"), line.alias("t"))), lambda u: model.may_have(u["t"]))
-        whole = F.array(F.struct(x["i"].alias("i"), F.lit(None).cast("int").alias("j"), x["p"].alias("t")))
-        return F.when(F.size(lines) > 1, F.concat(each, whole)).otherwise(each)
+        each = F.transform(lines, lambda line, j: F.struct(x["i"].alias("i"), j.alias("j"), model.grams(line).alias("g")))
+        whole = F.array(F.struct(x["i"].alias("i"), F.lit(None).cast("int").alias("j"), model.grams(x["p"]).alias("g")))
+        return F.filter(F.when(F.size(lines) > 1, F.concat(each, whole)).otherwise(each), lambda u: F.size(u["g"]["g"]) > 0)
 
-    paragraphs = F.filter(F.transform(F.split(text, "\n[ \\t\r]*\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: model.may_have(x["p"]))
+    paragraphs = F.transform(F.split(text, "\n[ \t\r]*\n"), lambda p, i: F.struct(i.alias("i"), p.alias("p")))
     rows = docs.select("doc_id", F.when(model.may_have(text), F.flatten(F.transform(paragraphs, units))).alias("units"))
 
     def judged(x):
         return F.transform(
-            F.array(model.judge(x["t"], confirm)),
+            F.array(model.judge(x["g"], confirm)),
             lambda j: F.struct(x["i"].alias("paragraph"), x["j"].alias("line"), j["family"].alias("family"), j["probability"].alias("probability"), j["similarity"].alias("similarity"), j["confirmed"].alias("confirmed")),
         )[0]
 

@@ -41,15 +41,30 @@ def test_hot_group_over_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_hot_group_of_one_id(spark):
+    """Rows that repeat one id and text, or have no id, lie in many partitions; one row of each text stays."""
+    rows = [(7, "hot", "", 0, "")] * 500 + [(None, "cold", "", 0, "")] * 500 + [(i, f"text {i}", "", 0, "") for i in range(100)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        check(spark, rows)
+        check(spark, rows, keep="smallest", memory=300)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize("memory", [1 << 30, 4000, 600])
 def test_trie_spills_and_finds_all(memory, tmp_path):
     rng = random.Random(memory)
     keys = ["same prefix ".encode() * rng.randrange(3) + bytes(rng.randrange(97, 100) for _ in range(rng.randrange(30))) for _ in range(600)]
     trie = PatriciaTrie(memory, str(tmp_path))
-    terms = [trie.insert(k, i) for i, k in enumerate(keys)]
+    owners = [(False, rng.randrange(50), i) for i in range(len(keys))]
+    terms = [trie.insert(k, owner) for k, owner in zip(keys, owners, strict=True)]
     assert memory > 1 << 20 or -1 in terms
-    for row, term in trie.settle():
-        terms[row] = term
-    by_key, by_term = {}, {}
+    for owner, term in trie.settle():
+        terms[owner[2]] = term
+    by_key = {}
     for k, t in zip(keys, terms, strict=True):
-        assert t >= 0 and by_key.setdefault(k, t) == t and by_term.setdefault(t, k) == k
+        assert t >= 0 and by_key.setdefault(k, t) == t
+    for k, t in by_key.items():
+        mine = [o for o, other in zip(owners, keys, strict=True) if other == k]
+        assert trie.terms[t] == [min(mine), len(mine)]

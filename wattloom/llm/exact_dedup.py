@@ -1,11 +1,12 @@
 """Exact dedup by Patricia-trie owners.
 
-Rows are dealt by ranges of (content hash, byte length, doc_id). A group of equal texts is contiguous in that order,
-and because the id is part of it, a group that holds a third of all rows is spread over as many partitions as it
-needs instead of meeting in one task. Every partition inserts its full byte strings into a compressed radix trie whose
-terminal nodes keep the owner's id; a trie that outgrows its memory bound moves its largest subtree to a file and
-goes on. Only the first and the last key of a partition can go on in a neighbour, so only the owners of those (two
-keys a partition) are merged, by a second trie.
+Rows are dealt by ranges of (content hash, byte length, doc_id, row number). A group of equal texts is contiguous in that
+order, and because id and row number are part of it, a group that holds a third of all rows is spread over as many
+partitions as it needs instead of meeting in one task, even if its rows repeat one id. Every partition inserts its full
+byte strings into a compressed radix trie whose terminals keep the smallest identifier seen (the largest id is the
+smallest in falling order) and a count; a trie that outgrows its memory bound moves its largest subtree to a file and
+goes on. Only the first and the last key of a partition can go on in a neighbour; the owners of those, two or so a
+partition, are merged by hash, length and SHA-256, and no text travels twice.
 """
 
 from __future__ import annotations
@@ -15,12 +16,11 @@ import pickle
 import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, cut
+from ._common import cut
 
 
 class _Spill:
@@ -29,8 +29,8 @@ class _Spill:
     def __init__(self, folder: str | None):
         self.file = tempfile.TemporaryFile(dir=folder)
 
-    def add(self, key: bytes, term: int, row: int) -> None:
-        pickle.dump((key, term, row), self.file, protocol=5)
+    def add(self, key: bytes, term: int, owner: tuple | None) -> None:
+        pickle.dump((key, term, owner), self.file, protocol=5)
 
     def __iter__(self):
         self.file.seek(0)
@@ -66,7 +66,7 @@ def _common(key: bytes, at: int, label: bytes) -> int:
 
 
 class PatriciaTrie:
-    """Compressed radix trie over byte strings; each distinct string has a terminal number.
+    """Compressed radix trie over byte strings; each distinct string has a terminal in ``terms``: [smallest identifier, rows].
 
     ``memory`` bounds the bytes of its labels. Beyond it the largest subtree below the first fork goes to a file;
     ``settle`` reads such files again, each into a trie of its own with the same bound.
@@ -77,17 +77,19 @@ class PatriciaTrie:
         self.bytes, self.spills = 0, []
         self.terms = [] if terms is None else terms  # shared with the tries of spilled subtrees
 
-    def insert(self, key: bytes, row: int, term: int = -1) -> int:
-        """The terminal of ``key``, or -1 if it is in a spilled subtree (settle then tells it by its row)."""
+    def insert(self, key: bytes, owner: tuple, term: int = -1) -> int:
+        """The terminal of ``key``, which ``owner`` now may own, or -1 if it is in a spilled subtree (settle then tells it by its owner).
+
+        ``term`` is that of a string whose terminal there is already.
+        """
         node, at = self.root, 0
         while True:
             if at == len(key):
-                if node.term < 0:
-                    node.term = self._new(term)
+                node.term = self._own(node.term, owner, term)
                 return node.term
             child = node.children.get(key[at])
             if child is None:
-                leaf = _Node(key[at:], self._new(term))
+                leaf = _Node(key[at:], self._own(-1, owner, term))
                 node.children[key[at]] = leaf
                 found = leaf.term
                 self.bytes += len(leaf.label) + 200
@@ -97,7 +99,7 @@ class PatriciaTrie:
             if key.startswith(child.label, at):
                 at += len(child.label)
                 if isinstance(child.children, _Spill):
-                    child.children.add(key[at:], term, row)
+                    child.children.add(key[at:], term, owner)
                     return -1
                 node = child
                 continue
@@ -109,11 +111,17 @@ class PatriciaTrie:
             self.bytes += 200
             node, at = middle, at + n
 
-    def _new(self, term: int) -> int:
-        if term >= 0:
+    def _own(self, there: int, owner: tuple | None, term: int) -> int:
+        if term >= 0:  # a string read back from a file; if another row came before it, that row's terminal joins this one
+            if there >= 0 and there != term:
+                raise AssertionError("a spilled string is read before the rows that came after it")
             return term
-        self.terms.append(None)
-        return len(self.terms) - 1
+        if there < 0:
+            self.terms.append([owner, 1])
+            return len(self.terms) - 1
+        known = self.terms[there]
+        known[0], known[1] = min(known[0], owner), known[1] + 1
+        return there
 
     def _spill(self) -> None:
         node = self.root
@@ -131,10 +139,10 @@ class PatriciaTrie:
         while stack:
             x, before = stack.pop()
             if x.term >= 0:
-                spill.add(before, x.term, -1)
+                spill.add(before, x.term, None)
             if isinstance(x.children, _Spill):
-                for key, term, row in x.children:
-                    spill.add(before + key, term, row)
+                for key, term, owner in x.children:
+                    spill.add(before + key, term, owner)
                 self.spills = [s for s in self.spills if s.children is not x.children]
             else:
                 stack += [(y, before + y.label) for y in x.children.values()]
@@ -151,24 +159,21 @@ class PatriciaTrie:
                 stack += x.children.values()
         return total
 
-    def settle(self) -> Iterator[tuple[int, int]]:
-        """(row, terminal) of the rows that went to spilled subtrees."""
+    def settle(self) -> Iterator[tuple[tuple, int]]:
+        """(owner, terminal) of the rows that went to spilled subtrees."""
         self.root = _Node(b"")
         pending = [x.children for x in self.spills]
         self.spills = []
         for spill in pending:
             below = PatriciaTrie(self.memory, self.folder, self.terms)
-            for key, term, row in spill:
-                got = below.insert(key, row, term)
-                if row >= 0 and got >= 0:
-                    yield row, got
+            for key, term, owner in spill:
+                got = below.insert(key, owner, term)
+                if owner is not None and got >= 0:
+                    yield owner, got
             yield from below.settle()
 
 
-_LIGHT = (
-    "doc_id long, h long, n_bytes long, owner long, is_owner boolean, group_size long, text_sha256 string, "
-    "edge boolean, content binary"
-)
+_LIGHT = "doc_id long, h long, n_bytes long, owner long, at long, is_owner boolean, group_size long, text_sha256 string, edge boolean"
 
 
 def _own(smallest: bool, memory: int):
@@ -177,103 +182,66 @@ def _own(smallest: bool, memory: int):
     def run(batches):
 
         trie = PatriciaTrie(memory)
-        ids, hashes, sizes, terms = [], [], [], []
+        ids, hashes, sizes, terms, ats = [], [], [], [], []
+        rows: dict[int, int] = {}  # of rows in spilled subtrees, by their row number
         shas: dict[int, str] = {}
         waiting: dict[int, str] = {}
-        edge_texts: dict[tuple, set] = {}
-        low = high = None
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             texts = cols["text"].cast(pa.binary()).to_pylist()
-            for doc, h, n, text in zip(cols["doc_id"].to_pylist(), cols["h"].to_pylist(), cols["n_bytes"].to_pylist(), texts, strict=True):
-                row, term = len(ids), trie.insert(text, len(ids))
-                ids.append(NO_ID if doc is None else doc)
-                hashes.append(h)
-                sizes.append(n)
-                terms.append(term)
+            for doc, h, n, at, text in zip(cols["doc_id"].to_pylist(), cols["h"].to_pylist(), cols["n_bytes"].to_pylist(), cols["at"].to_pylist(), texts, strict=True):
+                # identifiers in the order of preference; rows without an id come last, rows with the same id by their number
+                term = trie.insert(text, (doc is None, (doc or 0) * (1 if smallest else -1), at))
                 if term < 0:
-                    waiting[row] = hashlib.sha256(text).hexdigest()
+                    rows[at] = len(ids)
+                    waiting[len(ids)] = hashlib.sha256(text).hexdigest()
                 elif term not in shas:
                     shas[term] = hashlib.sha256(text).hexdigest()
-                key = (h, n)
-                if low is None or key < low:
-                    low = key
-                if high is None or key > high:
-                    high = key
-                if key in (low, high):
-                    edge_texts = {k: v for k, v in edge_texts.items() if k in (low, high)}
-                    edge_texts.setdefault(key, set()).add(text)
-        for row, term in trie.settle():
+                ids.append(doc)
+                hashes.append(h)
+                sizes.append(n)
+                terms.append(term)
+                ats.append(at)
+        for owner, term in trie.settle():
+            row = rows[owner[2]]
             terms[row] = term
             shas[term] = waiting[row]
-        del trie
-        best: dict[int, tuple[int, int]] = {}
-        counts: dict[int, int] = {}
-        for row, (doc, term) in enumerate(zip(ids, terms, strict=True)):
-            counts[term] = counts.get(term, 0) + 1
-            rank = ((doc == NO_ID, doc) if smallest else (doc == NO_ID, -doc), row)
-            if term not in best or rank < best[term]:
-                best[term] = rank
-        content = {hashlib.sha256(t).hexdigest(): t for found in edge_texts.values() for t in found}
+        keys = list(zip(hashes, sizes, strict=True))
+        low, high = min(keys, default=None), max(keys, default=None)
         for start in range(0, len(ids), 8192):
             out = {n.split()[0]: [] for n in _LIGHT.split(", ")}
             for row in range(start, min(start + 8192, len(ids))):
-                term, key = terms[row], (hashes[row], sizes[row])
-                mine = best[term][1]
-                values = (
-                    ids[row], *key, ids[mine], row == mine, counts[term], shas[term], key in (low, high),
-                    content[shas[term]] if row == mine and key in (low, high) else None,
-                )
+                (none, best, at), count = trie.terms[terms[row]]
+                owner = None if none else best if smallest else -best
+                values = (ids[row], *keys[row], owner, at, ats[row] == at, count, shas[terms[row]], keys[row] in (low, high))
                 for name, value in zip(out, values, strict=True):
                     out[name].append(value)
-            types = [pa.int64()] * 4 + [pa.bool_(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+            types = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
     return run
 
 
-def _merge(smallest: bool, memory: int):
-    def run(pdf):
-
-        trie, terms = PatriciaTrie(memory), []
-        for row, text in enumerate(pdf["content"]):
-            terms.append(trie.insert(bytes(text), row))
-        for row, term in trie.settle():
-            terms[row] = term
-        pdf = pdf.assign(term=terms)
-        ids = pdf["owner"].astype("Int64").where(pdf["owner"] != NO_ID)  # whole numbers stay exact
-        grouped = ids.groupby(pdf["term"])
-        keep = (grouped.transform("min") if smallest else grouped.transform("max")).fillna(NO_ID)
-        return pd.DataFrame({
-            "m_owner": pdf["owner"], "m_sha": pdf["text_sha256"], "keep": keep.astype("int64"),
-            "total": pdf.groupby("term")["group_size"].transform("sum"),
-        })
-
-    return run
-
-
 def exact_dedup(docs: DataFrame, keep: str = "largest", memory: int = 128 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their UTF-8 bytes are; a null text counts as empty. Of equal texts the row with the
     ``keep`` ("largest" or "smallest") doc_id stays; rows without an id stay only if no row of their group has one,
-    and of rows repeated with the same id exactly one stays. Columns other than doc_id and text are not read, so they
-    may have any name. An empty table gives no rows.
+    and of rows repeated with the same id exactly one stays. Texts of any length are read whole. Columns other than
+    doc_id and text are not read, so they may have any name. An empty table gives no rows.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
     smallest = keep == "smallest"
     text = F.coalesce(F.col("text"), F.lit(""))
     dealt = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")
-    ).repartitionByRange("h", "n_bytes", "doc_id")
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), F.monotonically_increasing_id().alias("at"), text.alias("text")
+    ).repartitionByRange("h", "n_bytes", "doc_id", "at")
     light = cut(dealt.mapInArrow(_own(smallest, memory), _LIGHT))
-    inner = light.where("not edge").withColumn("keep", F.col("owner")).withColumn("total", F.col("group_size"))
-    owners = light.where("edge and is_owner").select("h", "n_bytes", "owner", "group_size", "text_sha256", "content")
-    merged = owners.groupBy("h", "n_bytes").applyInPandas(_merge(smallest, memory), "m_owner long, m_sha string, keep long, total long")
-    edge = light.where("edge").join(merged, (F.col("owner") == F.col("m_owner")) & (F.col("text_sha256") == F.col("m_sha"))).drop("m_owner", "m_sha")
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return inner.unionByName(edge).select(
-        real("doc_id").alias("doc_id"), real("keep").alias("keep_id"), F.col("total").alias("group_size"),
-        (F.col("is_owner") & (F.col("keep") == F.col("owner"))).alias("kept"), "text_sha256",
-    )
+    inner = light.where("not edge").select("doc_id", F.col("owner").alias("keep_id"), "group_size", F.col("is_owner").alias("kept"), "text_sha256")
+    order = F.struct(F.col("owner").isNull().alias("none"), (F.col("owner") if smallest else F.bitwise_not("owner")).alias("rank"), "at", "owner")
+    owners = light.where("edge and is_owner").groupBy("h", "n_bytes", "text_sha256").agg(F.min(order).alias("best"), F.sum("group_size").alias("total"))
+    # The first and the last key of each partition: two rows or so a partition, whatever the table's size.
+    edge = light.where("edge").join(F.broadcast(owners), ["h", "n_bytes", "text_sha256"])
+    edge = edge.select("doc_id", F.col("best.owner").alias("keep_id"), F.col("total").alias("group_size"), (F.col("is_owner") & (F.col("at") == F.col("best.at"))).alias("kept"), "text_sha256")
+    return inner.unionByName(edge)

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from wattloom.llm.source_mix import apply_mix, mix_sources, sainte_lague
+from wattloom.llm.source_mix import apply_mix, mix_sources, sainte_lague, source_quotas, source_targets
 
 
 def test_apportionment_is_by_highest_quotients(spark):
@@ -22,6 +22,27 @@ def test_apportionment_is_by_highest_quotients(spark):
         for _, i in quotients:
             want[i] += 1
         assert got[case] == want
+        if case % 3 == 0:
+            rows = spark.createDataFrame([(f"{i:04d}", w, cap) for i, w, cap in parties], "key string, weight double, cap long").repartition(5)
+            assert {int(r["key"]): r["quota"] for r in source_quotas(rows, seats).collect()} == want
+
+
+def test_many_sources(spark):
+    """Thousands of sources, a null one and equal sizes among them: targets and quotas as in brute force."""
+    rng = random.Random(11)
+    sizes = {f"site{i}": rng.choice([0, 5, 5, 700, rng.randrange(1, 100_000)]) for i in range(3000)} | {None: 77}
+    rows = spark.createDataFrame([("" if n is None else f"={n}", n, k, 1) for n, k in sizes.items()], "skey string, source string, source_size long, n_docs long").repartition(6)
+    got = source_targets(rows).cache()
+    want = targets(sizes)
+    assert all(r["target"] == pytest.approx(want[r["source"]], rel=1e-9) for r in got.collect())
+    seats = 5000
+    parties = got.selectExpr("skey as key", "target as weight", "cast(1000000 as long) as cap")
+    quota = {r["key"]: (r["weight"], r["quota"]) for r in source_quotas(parties, seats).collect()}
+    best = sorted((-w / (2 * k + 1), i) for i, (w, q) in quota.items() for k in range(q + 3) if w > 0)[:seats]
+    count = defaultdict(int)
+    for _, i in best:
+        count[i] += 1
+    assert all(q == count[i] for i, (_, q) in quota.items())
 
 
 def targets(sizes, weights=(3, 1, 2)):

@@ -6,8 +6,9 @@ while its quota reaches, and spreads the rest of its quota evenly over its block
 then reads what is taken of it from the stream's running word count in closed form.
 
 Everything is a DataFrame expression. The word counts are made once and cut from their lineage; what is shuffled after
-that is a row of a few numbers per document. A source has at most ``max_shards`` shards, so the array that holds its
-shards is bounded, and the hot source's documents are spread over its shards.
+that is a row of a few numbers per document. Sources are rows, ranked by running sums over ranges, so any number of
+them works. A source has at most ``max_shards`` shards, so the array that holds its shards is bounded, and the hot
+source's documents are spread over its shards.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators.ranks import running_sums
+
 from ._common import cut, n_words
 
 #: Shares of a copy are counted in whole parts of this size.
@@ -31,16 +34,43 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3.0, 1.0, 2.0),
     above ``limit`` times its source's size, and what is cut off is shared again by weight. Sorted by size per
     weight, the sources that are cut come first, so one pass of running sums finds the level of the others.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    named = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
-    cap = F.col("source_size") * F.lit(float(limit))
-    full = named.withColumn("cap", cap).withColumn("ratio", F.col("cap") / F.col("weight"))
-    rising = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing))
-    found = full.withColumn("level", level).withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("z"), "source", "level"))).over(everything)["level"])
-    return found.withColumn("target", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))).select("skey", "source", "source_size", "weight", "target")
+    columns = sizes.columns
+    named = running_sums(sizes.withColumn("last", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long")), ["last", "source"], ["one"])
+    weighed = named.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("upto_one") - 1) % len(weights) + 1).cast("int"))).drop("one", "upto_one")
+    full = weighed.withColumn("cap", F.col("source_size") * F.lit(float(limit))).withColumn("ratio", F.col("cap") / F.col("weight"))
+    rising = cut(running_sums(full, ["ratio", "last", "source"], ["cap", "weight"]))
+    total, weight = rising.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not total:
+        return rising.withColumn("target", F.lit(0.0)).select(*columns, "weight", "target")
+    level = (F.lit(total * float(share)) - F.col("upto_cap") + F.col("cap")) / (F.lit(weight) - F.col("upto_weight") + F.col("weight"))
+    found = rising.withColumn("level", level).where("level <= ratio").agg(F.min(F.struct("ratio", "last", "source", "level"))["level"]).first()[0]
+    target = F.col("cap") if found is None else F.least("cap", F.lit(found) * F.col("weight"))
+    return rising.withColumn("target", target).select(*columns, "weight", "target")
+
+
+def _bracket(weight: Column, cap: Column, seats: Column, total: Column, half: Column) -> tuple[Column, Column]:
+    """(sure, most): seats of a party that a divisor above and one below the right one give, one more on either side for rounding."""
+    low = F.when(seats > half, F.floor(weight * (seats - half) / total + 0.5) - 1).otherwise(F.lit(0))
+    high = F.floor(weight * (seats + half) / total + 0.5) + 1
+    sure = F.least(F.greatest(low, F.lit(0)), cap).cast("long")
+    most = F.when(weight > 0, F.least(F.greatest(high, F.lit(0)), cap)).otherwise(F.lit(0)).cast("long")
+    return sure, F.greatest(sure, most)
+
+
+def source_quotas(parties: DataFrame, seats: int) -> DataFrame:
+    """Adds quota to ``parties`` (key, weight double, cap long, ...): ``seats`` given by highest quotients, ties to the smaller key.
+
+    All seats above a divisor are given at once; the quotients between two divisors, a few for each party, are rows and
+    are ranked by running counts over ranges of them.
+    """
+    total, positive = parties.agg(F.sum("weight"), F.count_if(F.col("weight") > 0)).first()
+    sure, most = _bracket(F.col("weight"), F.col("cap"), F.lit(seats), F.lit(max(total or 0.0, 1e-300)), F.lit(positive / 2))
+    known = cut(parties.withColumn("sure", sure).withColumn("most", most))
+    rest = seats - (known.agg(F.sum("sure")).first()[0] or 0)
+    tries = known.where("most > sure").select("key", F.col("weight").alias("w"), F.explode(F.sequence(F.col("sure"), F.col("most") - 1)).alias("n"))
+    ranked = running_sums(tries.select("key", (-F.col("w") / (2 * F.col("n") + 1)).alias("q"), F.lit(1).cast("long").alias("one")), ["q", "key"], ["one"])
+    won = ranked.where(F.col("upto_one") <= max(rest, 0)).groupBy("key").agg(F.count(F.lit(1)).alias("won"))
+    return known.join(won, "key", "left").withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop("sure", "most", "won")
 
 
 def _bound(value: Column, use) -> Column:
@@ -52,30 +82,28 @@ def sainte_lague(parties: Column, seats: Column) -> Column:
     """array<struct<id, quota>>: ``seats`` given to ``parties`` (array<struct<id, weight double, cap long>>) by highest quotients.
 
     Two divisors bracket the right one: all seats above the first are given at once, and only those between the two
-    (a few for each party) are compared. Ties go to the smaller id. A party gets ``cap`` seats at most.
+    (a few for each party) are sorted and compared with the last one that wins. Ties go to the smaller id. A party gets ``cap`` seats at most.
     """
 
+    quotient = lambda p, n: -p["weight"] / (2 * n + 1)
+    open_seats = lambda p: F.when(p["most"] > p["sure"], F.sequence(p["sure"], p["most"] - 1)).otherwise(F.array().cast("array<bigint>"))
+
     def bracket(s):
         def between(p):
-            # seats of this party that the larger and the smaller divisor give, one more on either side for rounding
-            low = F.when(s["seats"] > s["half"], F.floor(p["weight"] * (s["seats"] - s["half"]) / s["total"] + 0.5) - 1).otherwise(F.lit(0))
-            high = F.floor(p["weight"] * (s["seats"] + s["half"]) / s["total"] + 0.5) + 1
-            sure = F.least(F.greatest(low, F.lit(0)), p["cap"]).cast("long")
-            most = F.when(p["weight"] > 0, F.least(F.greatest(high, F.lit(0)), p["cap"])).otherwise(F.lit(0)).cast("long")
-            return F.struct(p["id"].alias("id"), p["weight"].alias("weight"), sure.alias("sure"), F.greatest(sure, most).alias("most"))
+            sure, most = _bracket(p["weight"], p["cap"], s["seats"], s["total"], s["half"])
+            return F.struct(p["id"].alias("id"), p["weight"].alias("weight"), sure.alias("sure"), most.alias("most"))
 
         return _bound(F.struct(F.transform(s["p"], between).alias("known"), s["seats"].alias("seats")), contest)
 
     def contest(k):
-        none = F.array().cast("array<struct<q:double,id:bigint>>")
-        quotients = lambda p: F.transform(F.sequence(p["sure"], p["most"] - 1), lambda n: F.struct((-p["weight"] / (2 * n + 1)).alias("q"), p["id"].alias("id")))
-        open_seats = F.flatten(F.transform(k["known"], lambda p: F.when(p["most"] > p["sure"], quotients(p)).otherwise(none)))
+        tries = F.flatten(F.transform(k["known"], lambda p: F.transform(open_seats(p), lambda n: F.struct(quotient(p, n).alias("q"), p["id"].alias("id")))))
         rest = F.greatest(k["seats"] - F.aggregate(k["known"], F.lit(0).cast("long"), lambda a, p: a + p["sure"]), F.lit(0)).cast("int")
-        won = F.transform(F.slice(F.array_sort(open_seats), F.lit(1), rest), lambda s: s["id"])
-        return _bound(F.struct(k["known"].alias("known"), won.alias("won")), award)
+        last = F.when(rest > 0, F.element_at(F.slice(F.array_sort(tries), F.lit(1), F.greatest(rest, F.lit(1))), -1))  # the last seat that is won
+        return _bound(F.struct(k["known"].alias("known"), last.alias("last")), award)
 
     def award(w):
-        return F.transform(w["known"], lambda p: F.struct(p["id"].alias("id"), (p["sure"] + F.size(F.filter(w["won"], lambda x: x == p["id"]))).alias("quota")))
+        wins = lambda p: F.filter(open_seats(p), lambda n: (quotient(p, n) < w["last"]["q"]) | ((quotient(p, n) == w["last"]["q"]) & (p["id"] <= w["last"]["id"])))
+        return F.transform(w["known"], lambda p: F.struct(p["id"].alias("id"), (p["sure"] + F.when(w["last"].isNotNull(), F.size(wins(p))).otherwise(0)).alias("quota")))
 
     total = F.greatest(F.aggregate(parties, F.lit(0.0), lambda a, p: a + p["weight"]), F.lit(1e-300))
     half = F.size(F.filter(parties, lambda p: p["weight"] > 0)) / F.lit(2.0)
@@ -102,16 +130,14 @@ def mix_sources(
     skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), n_words("text").alias("size"), *([row] if row else [])))
     stats = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
-    targets = source_targets(stats, weights, share, limit).join(stats.select("skey", "n_docs"), "skey")
+    targets = source_targets(stats, weights, share, limit)
 
     blocks = lambda size: F.ceil(size / F.lit(block_words)).cast("long")
-    number = targets.withColumn("id", F.row_number().over(Window.orderBy("skey")).cast("long"))
-    party = lambda weight, size: F.struct(F.col("id"), weight.cast("double").alias("weight"), (blocks(size) * F.lit(int(limit))).alias("cap"))
-    listed = number.agg(F.array_sort(F.collect_list(party(F.col("target"), F.col("source_size")))).alias("p"), F.floor(F.sum("target") / block_words + 0.5).cast("long").alias("seats"))
-    quotas = listed.select(F.explode(sainte_lague(F.col("p"), F.col("seats"))).alias("x")).select("x.*")
+    parties = cut(targets.withColumnRenamed("weight", "share").withColumn("key", F.col("skey")).withColumn("weight", F.col("target").cast("double")).withColumn("cap", blocks(F.col("source_size")) * F.lit(int(limit))))
+    quotas = source_quotas(parties, int(parties.agg(F.floor(F.coalesce(F.sum("target"), F.lit(0.0)) / block_words + 0.5)).first()[0]))
     shards = F.least(F.ceil(F.col("n_docs") / docs_per_shard), F.lit(max_shards)).cast("long")
     streams = F.least(F.ceil(F.col("n_docs") / (64 * docs_per_shard)), F.lit(max_shards)).cast("long")  # long ones, as each may miss by a row
-    sources = cut(number.join(quotas, "id").select("skey", "source_size", "target", "quota", F.greatest(shards, F.lit(1)).alias("n_shards"), F.greatest(streams, F.lit(1)).alias("n_streams")))
+    sources = cut(quotas.select("skey", "source_size", "target", "quota", F.greatest(shards, F.lit(1)).alias("n_shards"), F.greatest(streams, F.lit(1)).alias("n_streams")))
 
     # One short row per source: broadcast if there are few, else Spark splits the hot source's partition of the join.
     dealt = sized.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, "skey").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_shards")))

@@ -300,6 +300,22 @@ def _index(width: int, batch_bytes: int, hold: int):
     return run
 
 
+def _windows_of(width: int):
+    """Task over (h, d, ranges of bytes): the ranges of windows inside them, joined where they touch."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for ranges in batch.column(2).to_pylist():
+                flags = np.zeros(max(x["stop"] for x in ranges) - width + 1, bool)
+                for x in ranges:
+                    flags[x["begin"] : x["stop"] - width + 1] = True
+                out.append(_ranges(flags))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([r[k] for r in out], pa.list_(pa.int32())) for k in (0, 1))], names=["h", "d", "begin", "stop"])
+
+    return run
+
+
 def _apart(df: DataFrame, key: str) -> DataFrame:
     """``df`` with its key under another name and mixed, so that a join gives it an exchange of its own and a hot key can be split."""
     return df.withColumn("__k", F.col(key).bitwiseXOR(F.lit(1))).drop(key)
@@ -310,7 +326,7 @@ def _on(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_spans(
-    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256), longest: int = 1024, batch_bytes: int = 1 << 18, hold: int = 1 << 16, most_strips: int = 256, most_windows: int = 1 << 16
+    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256, 384), longest: int = 1024, batch_bytes: int = 1 << 18, hold: int = 1 << 18, most_strips: int = 1024, most_windows: int = 1 << 18
 ) -> DataFrame:
     """(doc_id, th, begin, stop): byte ranges covered by windows that occur elsewhere, overlapping as they come.
 
@@ -353,9 +369,8 @@ def repeated_spans(
     if finer and not rest.isEmpty():
         below = rest.select(F.col("h").alias("doc_id"), F.col("d").alias("th"), F.col("piece").alias("text"), F.col("c").cast("int").alias("c"))
         inner = repeated_spans(below, width, finer, longest, batch_bytes, hold, most_strips, most_windows)
-        more = inner.groupBy("doc_id", "th").agg(F.collect_set(F.struct("begin", (F.col("stop") - (width - 1)).alias("stop"))).alias("x"))
-        ints = lambda name: F.transform("x", lambda r: r[name].cast("int"))
-        found = found.unionByName(more.select(F.col("doc_id").alias("h"), F.col("th").alias("d"), ints("begin").alias("begin"), ints("stop").alias("stop")))
+        more = inner.select(F.col("doc_id").alias("h"), F.col("th").alias("d"), F.struct("begin", "stop").alias("x")).groupBy("h", "d").agg(F.collect_set("x").alias("x"))
+        found = found.unionByName(more.mapInArrow(_windows_of(width), _FOUND))
     spread = places.join(found, ["h", "d"]).select("doc_id", "th", F.expr(_PLACE).alias("s"), F.explode(F.arrays_zip("begin", "stop")).alias("x"))
     return spread.select("doc_id", "th", (F.col("s") + F.col("x.begin")).alias("begin"), (F.col("s") + F.col("x.stop") + (width - 1)).alias("stop"))
 

@@ -1,4 +1,15 @@
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
 import corpus_pipeline as C
+from tests.llm.test_source_mix import targets
+from wattloom.llm import quality_model as Q
 from wattloom.llm import queries
 
 
@@ -40,3 +51,74 @@ def test_registered_names():
     names = set(queries.queries())
     assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
     assert set(queries.oracle_sql()) <= names
+
+
+def brute_fingerprint(text):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
+    grams = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_matches_a_plain_recomputation(spark, tmp_path):
+    """The stages over a small table, against loops over all rows and all pairs."""
+    tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
+    rng = random.Random(12)
+    pool = "the of and to a river stone cloud walks under green hills while nobody looks for rain in it was by on".split() + [f"name{i}" for i in range(60)]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(20, 150))) for _ in range(150)]
+    texts += [t.replace("river", "stream", 1) for t in texts[:20]] + texts[20:40] + [" ".join(["###"] * 80)] * 4 + ["", None]
+    rows = [(int(i), t, rng.choice(["a", "a", "b", None])) for i, t in zip(rng.sample(range(1000), len(texts)), texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    model = Q.fit_quality(docs)
+    w, bias = np.array(model.weights[:-1]), model.weights[-1]
+    good = lambda t: bool(t) and 1 / (1 + np.exp(-(Q.features(t.encode(), Q.statistics(t.encode()), model.dims).astype(float) @ w + bias))) >= 0.5
+    left = [r for r in rows if good(r[1])]
+    best = {}
+    for r in left:
+        best[r[1]] = max(best.get(r[1], -1), r[0])
+    left = [r for r in left if best[r[1]] == r[0]]
+    prints = {r[0]: brute_fingerprint(r[1]) for r in left}
+    group = {i: i for i in prints}
+    changed = True
+    while changed:
+        changed = False
+        for i in prints:
+            for j in prints:
+                if (prints[i] ^ prints[j]).bit_count() <= 4 and group[j] < group[i]:
+                    group[i], changed = group[j], True
+    left = [r for r in left if group[r[0]] == r[0]]
+
+    stages, seen = dict(C.STAGES), docs
+    for name in ("quality", "exact_dedup", "near_dedup"):
+        seen = stages[name](spark, seen, "").cache()
+    assert sorted(map(tuple, seen.collect()), key=str) == sorted(left, key=str) and len(left) < len(rows) - 25
+
+    result = C.run(spark, str(tmp_path)).collect()
+    ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    by = {r[0]: r for r in left}
+    size = {i: len(r[1].split()) for i, r in by.items()}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for i, r in by.items():
+        sizes[r[2]] += size[i]
+    for r in result:
+        ids = coder.encode(by[r["doc_id"]][1], disallowed_special=())
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(by[r["doc_id"]][1].encode()).hexdigest()
+        taken[by[r["doc_id"]][2]] += size[r["doc_id"]]
+    assert max(Counter(r["doc_id"] for r in result).values()) <= 2
+    for source, target in targets(sizes).items():
+        assert abs(taken[source] - target) <= 200  # a row of the longest kind
+
+
+def test_an_empty_table_and_a_very_long_text(spark, tmp_path):
+    text = " ".join(f"the word{k * 37} of and river{k % 5}" for k in range(60))
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kinds).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    assert C.run(spark, str(tmp_path / "empty")).count() == 0
+    long = " ".join(f"{text} {i}" for i in range(1500))
+    assert len(long) > 2_000_000
+    spark.createDataFrame([(1, text, "en", "a", 1), (2, long, "en", "b", 1), (3, long, "en", "b", 1), (4, "", None, None, None)], kinds).write.parquet(str(tmp_path / "long" / "documents.parquet"))
+    assert {r["doc_id"] for r in C.run(spark, str(tmp_path / "long")).collect()} <= {1, 3}

@@ -66,7 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are cut from their lineage before the next reads them."""
+    """All stages over ``documents``; each stage's rows are cut from their lineage before the next reads them.
+
+    Null and empty texts are rejected by the first stage. Rows are told by a number of their own, so repeated ids and
+    null ids are ordinary rows: an id on two texts stays twice, equal rows leave one. A null source is a source. Texts
+    of any length go through whole. The result has a row per copy that the mix takes; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -161,14 +161,23 @@ def _slots(docs: DataFrame, vocabulary: tuple[str, ...]) -> tuple[tuple[int, ...
 
 
 def _other_lines(docs: DataFrame, templates, sample_rows: int, unlike: float) -> DataFrame:
-    """(line): ``sample_rows`` corpus lines, and as many that speak of licenses but are no notice; the least of a hash over all lines of all texts, so a rerun finds the same."""
+    """(line): ``sample_rows`` corpus lines, and as many that speak of licenses but are no notice; the least of a hash over all lines of all texts, so a rerun finds the same.
+
+    Only lines whose hash is low enough for about twice that many are sorted, so what meets in one task doesn't grow with the table.
+    """
     text = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
     lines = text.select("id", F.posexplode(F.split("text", "\n")).alias("i", "line")).where("trim(line) <> ''")
     lines = lines.withColumn("rank", F.xxhash64(F.lit(23), "id", "i", "line"))
     speaks = F.lower("line").rlike("licen|copyright|permission|redistribut|warrant")
+    n_plain, n_hard = lines.agg(F.count_if(~speaks), F.count_if(speaks)).first()
+
+    def low(condition: Column, n: int) -> DataFrame:
+        chosen = lines.where(condition)
+        return chosen.where(F.col("rank") < F.lit(-(2**63) + 2**65 * sample_rows // n)) if n > 2 * sample_rows else chosen
+
     least = lambda df: df.orderBy("rank", "id", "i").limit(sample_rows).select("line")
-    hard = lines.where(speaks).withColumn("g", grams(F.col("line"), _template_words(templates))).where(similarity(templates, F.col("g")) < unlike)
-    return least(lines.where(~speaks)).unionByName(least(hard))
+    hard = low(speaks, n_hard).withColumn("g", grams(F.col("line"), _template_words(templates))).where(similarity(templates, F.col("g")) < unlike)
+    return least(low(~speaks, n_plain)).unionByName(least(hard))
 
 
 def fit_licenses(docs: DataFrame, templates=TEMPLATES, others=OTHERS, copies: int = 12, sample_rows: int = 2000, error: float = 0.01, unlike: float = 0.4) -> LicenseModel:

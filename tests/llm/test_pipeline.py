@@ -1,16 +1,16 @@
 import hashlib
 import random
-import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 
 import corpus_pipeline as C
+from tests.llm.test_simhash_dedup import near_groups
 from tests.llm.test_source_mix import targets
 from wattloom.llm import quality_model as Q
 from wattloom.llm import queries
+from wattloom.llm.simhash_dedup import near_prints
 
 
 def test_stages_keep_the_columns(spark, tmp_path):
@@ -53,13 +53,6 @@ def test_registered_names():
     assert set(queries.oracle_sql()) <= names
 
 
-def brute_fingerprint(text):
-    words = [w for w in re.split("[\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text)) if w]
-    grams = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([" ".join(words)] if words else [])
-    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_matches_a_plain_recomputation(spark, tmp_path):
     """The stages over a small table, against loops over all rows and all pairs."""
     tokenizers, tiktoken = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken")
@@ -79,16 +72,9 @@ def test_matches_a_plain_recomputation(spark, tmp_path):
     for r in left:
         best[r[1]] = max(best.get(r[1], -1), r[0])
     left = [r for r in left if best[r[1]] == r[0]]
-    prints = {r[0]: brute_fingerprint(r[1]) for r in left}
-    group = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for i in prints:
-            for j in prints:
-                if (prints[i] ^ prints[j]).bit_count() <= 4 and group[j] < group[i]:
-                    group[i], changed = group[j], True
-    left = [r for r in left if group[r[0]] == r[0]]
+    left.sort()
+    group = near_groups([near_prints(r[1]) for r in left])
+    left = [r for i, r in enumerate(left) if group[i] == i]
 
     stages, seen = dict(C.STAGES), docs
     for name in ("quality", "exact_dedup", "near_dedup"):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from wattloom.llm.simhash_dedup import _link_runs, block_masks, fingerprint, hamming_links, simhash_dedup
+from wattloom.llm.simhash_dedup import _link_runs, block_masks, fingerprint, hamming_links, near_copies, near_prints, simhash_dedup
 
 
 def plain(text):
@@ -91,3 +91,55 @@ def test_documents(spark):
     assert by_id[8]["component_id"] == by_id[2]["component_id"] == 2 and by_id[8]["fingerprint"] == "0" * 16
     assert sorted((r["component_id"] for r in got if r["doc_id"] is None), key=str) == [3, None]
     assert simhash_dedup(df.limit(0)).count() == 0
+
+
+def near_groups(prints, radius=6, far=50):
+    """The least index reachable over near links, by a loop over all pairs of ``near_prints``."""
+    bits = [[x % 2**64 for x in p] for p in prints]
+    close = lambda p, q: min((p[k] ^ q[k]).bit_count() for k in (0, 1)) <= radius and sum((p[k] ^ q[k]).bit_count() for k in range(2, 6)) <= far
+    group = list(range(len(bits)))
+    for i in range(len(bits)):
+        for j in range(i):
+            if group[i] != group[j] and close(bits[i], bits[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    return group
+
+
+def edited(rng, text, edits):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("run_limit", [100_000, 3])
+def test_near_copies_match_all_pairs(spark, run_limit):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(rng.choice(["the", "of", "and"]) if k % 3 == 0 else f"w{rng.randrange(3000)}" for k in range(n))
+    texts = [fresh(rng.randrange(3, 300)) for _ in range(40)]
+    texts += [edited(rng, t, rng.randrange(1, 8)) for t in texts[:15] for _ in range(2)]
+    texts += ["one", "one", "two", "a b c d", "a b c d e", "", " ", None, " ".join(["###"] * 70), " ".join(["###"] * 90)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), run_limit=run_limit).collect()}
+    want = near_groups([near_prints(t) for t in texts])
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts) - 15
+
+
+def test_near_copies_find_edited_texts_and_leave_others(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(150)) for _ in range(60)]
+    pairs = [edited(rng, t, 3) for t in texts]  # 15 of some 146 shingles change: a similarity of about 0.8
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    similar = [len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.8 for a, b in zip(texts, pairs, strict=True)]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(list(enumerate(texts + pairs)), "doc_id long, text string")).collect()}
+    assert np.mean([got[i + 60] == i for i in range(60) if similar[i]]) >= 0.9 and sum(similar) > 30
+    assert [got[i] for i in range(60)] == list(range(60))
+
+
+def test_near_copies_of_odd_rows(spark):
+    long = "river stone walks under the hill " * 200_000
+    rows = [(4, "a b c d e f", "x"), (2, "a b c d e f", "x"), (2, "other words are in here", "x"), (None, "a b c d e f", "x"), (None, "alone it is here now", "x"), (7, None, "x"), (6, "", "x"), (9, long, "x"), (8, long, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, f0 string")
+    got = sorted(((r["doc_id"], r["component_id"]) for r in near_copies(df).collect()), key=str)
+    assert got == sorted([(4, 2), (2, 2), (2, 2), (None, 2), (None, None), (7, 6), (6, 6), (9, 8), (8, 8)], key=str)
+    assert near_copies(df.limit(0)).count() == 0

@@ -5,10 +5,15 @@ they meet under at least one choice of agreeing blocks. Rows are dealt and sorte
 through the runs of equal keys with the Hamming distance. Equal fingerprints are one node from the start, and a run
 gives a spanning forest of its links, never all its pairs. Runs longer than ``run_limit`` are left to a next level,
 which cuts the bits that the key does not fix into blocks again; no pair is dropped.
+
+``simhash_dedup`` links by one fingerprint of shingles. ``near_copies`` is for similarities that differ in too many bits
+for block keys: it meets its pairs by short fingerprints of word sets, which an edit hardly moves, and verifies them by
+the Hamming distance of long fingerprints of shingle sets, which travel with the block keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
@@ -71,7 +76,7 @@ def block_masks(radius: int, n_blocks: int) -> list[int]:
     return [sum(c) for c in combinations(parts, n_blocks - radius)]
 
 
-def _forest(fps, radius: int):
+def _forest(fps, wide, radius: int, far: int):
     """(i, j) index pairs of a spanning forest of the links among ``fps``, breadth first over what is left."""
 
     left = np.arange(len(fps))
@@ -80,46 +85,51 @@ def _forest(fps, radius: int):
         while frontier and len(left):
             i = frontier.pop()
             near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
+            if wide.shape[1]:
+                some = np.flatnonzero(near)
+                near[some] = np.bitwise_count(wide[left[some]] ^ wide[i]).sum(axis=1) <= far
             if near.any():
                 found, left = left[near], left[~near]
                 frontier += found.tolist()
                 yield np.full(len(found), i), found
 
 
-def _link_runs(radius: int, run_limit: int):
-    """Task over rows (mask, key, fp, node) sorted by mask and key: links, and the rows of runs that are too long."""
+def _link_runs(radius: int, run_limit: int, wide: Sequence[str] = (), far: int = 0):
+    """Task over rows (mask, key, fp, node, wide columns) sorted by mask and key: links, and the rows of runs that are too long."""
 
     def run(batches):
 
-        names = ["mask", "fp", "a", "b"]
+        names = ["mask", "fp", "a", "b", *wide]
         held: list = []  # the rows of the run that may go on in the next batch
         key_now, n_held, over = None, 0, False
 
-        def emit(mask, fp, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (mask, fp)] + [pa.array(a, pa.int64()), b if isinstance(b, pa.Array) else pa.array(b, pa.int64())], names=names)
+        def emit(mask, fp, a, b, long):
+            b = b if isinstance(b, pa.Array) else pa.array(b, pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (mask, fp, a)), b, *(pa.array(long[:, c].view(np.int64)) for c in range(len(wide)))], names=names)
 
         def links(i, j, node):
             keep = node[i] != node[j]
             i, j = i[keep], j[keep]
             none = np.zeros(len(i), np.int64)
-            return emit(none, none, node[i], node[j])
+            return emit(none, none, node[i], node[j], np.zeros((len(i), len(wide)), np.uint64))
 
-        def overflow(mask, fp, node):
-            return emit(mask, fp, node, pa.nulls(len(fp), pa.int64()))
+        def overflow(mask, fp, node, long):
+            return emit(mask, fp, node, pa.nulls(len(fp), pa.int64()), long)
 
         def closed():
             nonlocal held, n_held, over
             rows, held, n_held, was, over = held, [], 0, over, False
             if rows and not was:
-                mask, fp, node = (np.concatenate([r[k] for r in rows]) for k in range(3))
+                mask, fp, node, long = (np.concatenate([r[k] for r in rows]) for k in range(4))
                 if len(fp) > 1:
-                    for i, j in _forest(fp.view(np.uint64), radius):
+                    for i, j in _forest(fp.view(np.uint64), long, radius, far):
                         yield links(i, j, node)
 
         for batch in batches:
             mask, key, fp, node = (np.asarray(batch.column(k)) for k in range(4))
             if not len(mask):
                 continue
+            long = np.column_stack([np.asarray(batch.column(4 + c)).view(np.uint64) for c in range(len(wide))]) if wide else np.zeros((len(mask), 0), np.uint64)
             new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.r_[0, new], np.r_[new, len(mask)]
             inner = slice(1, max(1, len(starts) - 1))
@@ -128,7 +138,7 @@ def _link_runs(radius: int, run_limit: int):
                 if which or (mask[a], key[a]) != key_now:
                     yield from closed()
                     key_now = (mask[a], key[a])
-                rows = (mask[a:b], fp[a:b], node[a:b])
+                rows = (mask[a:b], fp[a:b], node[a:b], long[a:b])
                 if not over and n_held + (b - a) > run_limit:
                     over = True
                     for r in held:
@@ -145,21 +155,34 @@ def _link_runs(radius: int, run_limit: int):
             if len(two):
                 x = fp.view(np.uint64)
                 two = two[np.bitwise_count(x[two] ^ x[two + 1]) <= radius]
+                two = two[np.bitwise_count(long[two] ^ long[two + 1]).sum(axis=1) <= far]
                 if len(two):
                     yield links(two, two + 1, node)
             for a, b in zip(s[n > 2].tolist(), e[n > 2].tolist(), strict=True):
                 if b - a > run_limit:
-                    yield overflow(mask[a:b], fp[a:b], node[a:b])
+                    yield overflow(mask[a:b], fp[a:b], node[a:b], long[a:b])
                     continue
-                for i, j in _forest(fp[a:b].view(np.uint64), radius):
+                for i, j in _forest(fp[a:b].view(np.uint64), long[a:b], radius, far):
                     yield links(a + i, a + j, node)
         yield from closed()
 
     return run
 
 
-def hamming_links(nodes: DataFrame, radius: int = 4, n_blocks: int | None = None, run_limit: int = 100_000) -> DataFrame:
-    """(a, b): a spanning forest of the links between ``nodes`` (fp, node), distinct in fp, at ``radius`` bits or fewer.
+def _tiles(rest: DataFrame, run_limit: int) -> DataFrame:
+    """Rows of runs that are too long, under a key for each pair of chunks of a run: every two rows meet in a tile of about ``run_limit`` rows."""
+    rows = rest.drop("b").withColumnRenamed("a", "node").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+    sized = rows.join(rows.groupBy("mask", "key").agg(F.ceil(2 * F.count(F.lit(1)) / run_limit).alias("chunks")), ["mask", "key"])
+    own = sized.withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return own.withColumn("key", F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "chunks")
+
+
+def hamming_links(nodes: DataFrame, radius: int = 4, n_blocks: int | None = None, run_limit: int = 100_000, far: int = 0) -> DataFrame:
+    """(a, b): a spanning forest of the links between ``nodes`` (fp, node) at ``radius`` bits or fewer.
+
+    Nodes are distinct in fp; further columns are the words of a long fingerprint, in which linked nodes differ in at most
+    ``far`` bits, and nodes are distinct in all columns together. Long runs of these are compared tile by tile, as
+    finer keys need not part them.
 
     ``n_blocks`` sets how many blocks a fingerprint has; by default it follows the number of nodes, so that a key
     fixes more bits than the nodes have. Every choice finds the same components.
@@ -167,17 +190,25 @@ def hamming_links(nodes: DataFrame, radius: int = 4, n_blocks: int | None = None
     if n_blocks is None:
         n_blocks = radius + (1 if (n := nodes.count()) < 1 << 13 else 2 if n < 1 << 24 else 3 if n < 1 << 30 else 4)
     masks = [_signed(m) for m in block_masks(radius, n_blocks)]
-    level = nodes.select("fp", "node", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+    wide = [c for c in nodes.columns if c not in ("fp", "node")]
+    kinds = "mask long, fp long, a long, b long" + "".join(f", {c} long" for c in wide)
+
+    def linked(keyed: DataFrame, limit: int) -> DataFrame:
+        rows = keyed.select("mask", "key", "fp", "node", *wide).repartition("mask", "key").sortWithinPartitions("mask", "key")
+        return cut(rows.mapInArrow(_link_runs(radius, limit, wide, far), kinds))
+
+    level = nodes.select("fp", "node", *wide, F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
     found = None
     for depth in range(12):
-        keyed = level.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "node")
-        out = cut(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_link_runs(radius, run_limit if depth < 11 else 1 << 62), "mask long, fp long, a long, b long"))
+        out = linked(level.withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))), run_limit if depth < 11 else 1 << 62)
         links = out.where("b is not null").select("a", "b")
         found = links if found is None else found.unionByName(links)
         rest = out.where("b is null")
         used = [r[0] for r in rest.select("mask").distinct().collect()]  # at most as many as there are masks
         if not used:
             return found
+        if wide:
+            return found.unionByName(linked(_tiles(rest, run_limit), 1 << 62).select("a", "b"))
         finer = []
         for m in used:
             free = [b for b in range(64) if not (m & _ALL) >> b & 1]
@@ -204,3 +235,58 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int
     return fps.join(named, "fp").select(
         "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < F.lit(1 << 62), F.col("c")).alias("component_id")
     )
+
+
+def _lanes(hashes, n_lanes: int) -> list[int]:
+    """Signed SimHashes of the same features, each from hashes that are mixed anew."""
+    out, n = [], len(hashes)
+    for lane in range(n_lanes):
+        x = hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & _ALL)
+        if lane:
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        set_bits = np.zeros(64, np.int64)
+        for k in range(0, n, 1 << 16):
+            set_bits += np.unpackbits(x[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * set_bits > n, bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def near_prints(text: str | None, shingle: int = 5, seed: int = 42) -> list[int]:
+    """Two fingerprints of the set of words and four of the set of shingles (together 256 bits); zeros without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return [0] * 6
+    digest = xxhash.xxh64_intdigest
+    hashed = lambda features: np.fromiter((digest(f, seed) for f in features), np.uint64, len(features))
+    line, ends, at = b" ".join(words), [], 0
+    for w in words:
+        at += len(w) + 1
+        ends.append(at - 1)
+    starts = [0, *(e + 1 for e in ends[: max(0, len(words) - shingle)])]
+    shingles = {line[a:b] for a, b in zip(starts, ends[shingle - 1 :], strict=True)} if len(words) >= shingle else {line}
+    return _lanes(hashed(set(words)), 2) + _lanes(hashed(shingles), 4)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, far: int = 50, seed: int = 42, run_limit: int = 100_000) -> DataFrame:
+    """One row per row of ``docs``: doc_id and component_id, for near copies of a similarity of about 0.8 or more.
+
+    Two texts are linked if one of their two word-set fingerprints differs in at most ``radius`` of 64 bits and their
+    fingerprints of ``shingle``-word sets in at most ``far`` of 256: at a Jaccard similarity of 0.8 about 39 differ,
+    give or take 6, at 0.6 about 59. Words, null and empty texts, rows without an id, rows that repeat an id, other
+    columns and empty tables are as for ``simhash_dedup``; texts of any length are read whole.
+    """
+    short, long = ["f0", "f1"], ["w0", "w1", "w2", "w3"]
+
+    def run(batches):
+        for batch in batches:
+            prints = np.array([near_prints(t.as_py(), shingle, seed) for t in batch.column(1)], np.int64).reshape(-1, 6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(prints[:, c]) for c in range(6))], names=["doc_id", *short, *long])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = cut(texts.mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in short + long)))
+    nodes = cut(prints.groupBy(*short, *long).agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64(*short, *long), 2) + F.lit(1 << 62)).alias("node")))
+    links = [hamming_links(nodes.select(F.col(f).alias("fp"), "node", *long), radius, None, run_limit, far) for f in short]
+    named = nodes.join(connected_components(links[0].unionByName(links[1])), "node", "left").select(*short, *long, F.coalesce("component", "node").alias("c"))
+    return prints.join(named, [*short, *long]).select("doc_id", F.when(F.col("c") < F.lit(1 << 62), F.col("c")).alias("component_id"))

@@ -11,7 +11,7 @@ from wattloom.llm._common import cut, table
 from wattloom.llm.byte_bpe import round_trip
 from wattloom.llm.exact_dedup import exact_dedup
 from wattloom.llm.quality_model import quality_filter
-from wattloom.llm.simhash_dedup import simhash_dedup
+from wattloom.llm.simhash_dedup import near_copies
 from wattloom.llm.source_mix import apply_mix, mix_sources
 
 
@@ -42,9 +42,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows whose fingerprints are linked, the one with the smallest doc_id; an id on two texts links nothing."""
+    """Of near copies (five-word shingles, a similarity of about 0.8), the one with the smallest doc_id; an id on two texts links nothing."""
     docs, row = numbered(docs)
-    groups = simhash_dedup(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = near_copies(docs.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     return keep_one(docs, row, groups, largest=False)
 
 

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from wattloom.llm.components import connected_components
+from wattloom.llm.components import connected_components, spanning_forest
 
 
 def brute(links):
@@ -27,3 +27,8 @@ def brute(links):
 def test_matches_union_find(spark, links):
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == brute(links) and len(got) == len(brute(links))
+    for per_task in (1, 1 << 18):
+        kept = [(r["a"], r["b"]) for r in spanning_forest(spark.createDataFrame(links, "a long, b long").repartition(5), per_task).collect()]
+        joined = {x: c for x, c in brute(links).items() if any(c == d and x != y for y, d in brute(links).items())}
+        assert brute(kept) == joined and set(kept) <= set(links)
+    assert len(kept) == len(joined) - len(set(joined.values()))

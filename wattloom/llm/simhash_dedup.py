@@ -13,6 +13,7 @@ the Hamming distance of long fingerprints of shingle sets, which travel with the
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut
-from .components import connected_components
+from .components import connected_components, spanning_forest
 
 _ALL = (1 << 64) - 1
 
@@ -81,9 +82,9 @@ def _forest(fps, wide, radius: int, far: int):
 
     left = np.arange(len(fps))
     while len(left):
-        frontier, left = [left[0]], left[1:]
+        frontier, left = deque([left[0]]), left[1:]
         while frontier and len(left):
-            i = frontier.pop()
+            i = frontier.popleft()
             near = np.bitwise_count(fps[left] ^ fps[i]) <= radius
             if wide.shape[1]:
                 some = np.flatnonzero(near)
@@ -194,7 +195,7 @@ def hamming_links(nodes: DataFrame, radius: int = 4, n_blocks: int | None = None
     kinds = "mask long, fp long, a long, b long" + "".join(f", {c} long" for c in wide)
 
     def linked(keyed: DataFrame, limit: int) -> DataFrame:
-        rows = keyed.select("mask", "key", "fp", "node", *wide).repartition("mask", "key").sortWithinPartitions("mask", "key")
+        rows = keyed.select("mask", "key", "fp", "node", *wide).repartition("mask", "key").sortWithinPartitions("mask", "key", "node")  # least node first: runs of one group give the same links
         return cut(rows.mapInArrow(_link_runs(radius, limit, wide, far), kinds))
 
     level = nodes.select("fp", "node", *wide, F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
@@ -288,5 +289,5 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, far: int = 5
     prints = cut(texts.mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in short + long)))
     nodes = cut(prints.groupBy(*short, *long).agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64(*short, *long), 2) + F.lit(1 << 62)).alias("node")))
     links = [hamming_links(nodes.select(F.col(f).alias("fp"), "node", *long), radius, None, run_limit, far) for f in short]
-    named = nodes.join(connected_components(links[0].unionByName(links[1])), "node", "left").select(*short, *long, F.coalesce("component", "node").alias("c"))
+    named = nodes.join(connected_components(spanning_forest(links[0].unionByName(links[1]))), "node", "left").select(*short, *long, F.coalesce("component", "node").alias("c"))
     return prints.join(named, [*short, *long]).select("doc_id", F.when(F.col("c") < F.lit(1 << 62), F.col("c")).alias("component_id"))

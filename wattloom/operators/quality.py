@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wattloom.operators.ranks import running_sums
+from wattloom.schema import missing_columns
 
 
 def null_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -31,9 +33,9 @@ def ks_statistic(base: DataFrame, current: DataFrame, columns: Sequence[str]) ->
     return steps.groupBy("column").agg(F.first("na").alias("n_base"), F.first("nb").alias("n_current"), F.max(gap).alias("d"))
 
 
-def ks_p_value(d: float, n: int, m: int, terms: int = 100) -> float:
-    """Asymptotic two-sided p-value (an exact test for small samples would differ a little)."""
-    if d <= 0:
+def ks_p_value(d: float | None, n: int, m: int, terms: int = 100) -> float:
+    """Asymptotic two-sided p-value (an exact test for small samples would differ a little); 1 without a distance, as of an empty side."""
+    if d is None or d <= 0:
         return 1.0
     x = d * math.sqrt(n * m / (n + m))
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, terms + 1))))
@@ -44,3 +46,22 @@ def drift_report(base: DataFrame, current: DataFrame, columns: Sequence[str], th
     rows = [(r["column"], r["d"], ks_p_value(r["d"], r["n_base"], r["n_current"])) for r in ks_statistic(base, current, columns).collect()]
     report = base.sparkSession.createDataFrame([(c, d, p, p < threshold) for c, d, p in rows], "column string, d double, p_value double, drift boolean")
     return report, not any(p < threshold for _, _, p in rows)
+
+
+def validation_gate(base: DataFrame, current: DataFrame, schema: T.StructType, threshold: float = 0.05, max_null_share: float = 1.0) -> tuple[DataFrame, bool]:
+    """(check, column, value, passed) of everything a new frame has to pass before it is used, and whether all passed.
+
+    ``columns`` says whether both frames have the columns of ``schema``; each number column then has a ``nulls`` row, the share of
+    nulls in ``current``, and a ``drift`` row, the p-value against ``base``. Frames that fail the first check get no others; an
+    empty ``current`` has no nulls and no drift.
+    """
+    named = schema.names
+    lacking = sorted({c for df in (base, current) for c in missing_columns(df, named)})
+    rows = [("columns", c, None, False) for c in lacking] or [("columns", None, None, True)]
+    if not lacking:
+        numbers = [f.name for f in schema if isinstance(f.dataType, T.NumericType)]
+        for r in null_profile(current, numbers).collect():
+            share = r["n_null"] / r["n_rows"] if r["n_rows"] else 0.0
+            rows.append(("nulls", r["column"], share, share <= max_null_share))
+        rows += [("drift", r["column"], r["p_value"], not r["drift"]) for r in drift_report(base, current, numbers, threshold)[0].collect()]
+    return base.sparkSession.createDataFrame(rows, "check string, column string, value double, passed boolean"), all(r[3] for r in rows)

@@ -8,6 +8,8 @@ from wattloom.functions.metrics import by_source, half_even, rank_models
 from wattloom.functions.scaling import fit_min_max
 from wattloom.operators import forecast as FC
 from wattloom.operators import ml
+from wattloom.operators.autoregression import fit_autoregression
+from wattloom.operators.knn import KnnImputer, KnnTable, fit_knn
 from wattloom.operators.quality import drift_report, ks_p_value, ks_statistic, null_profile
 
 T0 = datetime(2024, 1, 1)
@@ -74,7 +76,7 @@ def test_ks(spark):
 def test_knn_imputer():
     nan = np.nan
     donors = np.array([[1.0, 10.0], [2.0, 20.0], [3.0, 30.0], [100.0, nan]])
-    imputer = ml.KnnImputer(("a", "b"), donors, np.array([5.0, 20.0]), 2)
+    imputer = KnnImputer(("a", "b"), donors, np.array([5.0, 20.0]), 2)
     assert imputer.fill(np.array([[1.4, nan], [nan, nan], [2.0, 1.0]])).tolist() == [[1.4, 15.0], [5.0, 20.0], [2.0, 1.0]]
 
 
@@ -138,5 +140,54 @@ def test_searches(spark):
 
 def test_folds_and_autoregression(spark):
     assert ml.expanding_folds(8, 3) == [(2, 2, 4), (4, 4, 6), (6, 6, 8)]
-    got = ml.fit_autoregression(long(spark, 120, ("a",)), lags=4, season=24).orderBy("step").collect()
+    got = fit_autoregression(long(spark, 120, ("a",)), lags=4, season=24).orderBy("step").collect()
     assert len(got) == 24 and got[0]["ds"] == T0 + timedelta(hours=120)
+
+
+def test_autoregression_equals_least_squares(spark):
+    rng = np.random.default_rng(3)
+    series = {}
+    for name, start in (("a", 0.0), ("b", 1e6)):
+        y = [start, start + 1.0]
+        for _ in range(158):
+            y.append(start + 0.6 * (y[-1] - start) - 0.3 * (y[-2] - start) + rng.normal())
+        series[name] = y
+    rows = [(k, T0 + timedelta(hours=i), v) for k, y in series.items() for i, v in enumerate(y)] + [("short", T0, 4.0), ("short", None, 9.0), ("a", T0, None)]
+    frame = spark.createDataFrame(rows, "unique_id string, ds timestamp_ntz, y double")
+    for season in (0, 24):
+        got = {(r["unique_id"], r["step"]): r for r in fit_autoregression(frame, lags=3, season=season, h=5).collect()}
+        assert len(got) == 15 and got["short", 5]["AutoRegression"] == 4.0 and got["short", 1]["order"] == 0
+        for name, values in series.items():
+            y = np.array(values)
+            z = y[season:] - y[:-season] if season else y
+            x = np.column_stack([np.ones(len(z) - 3), z[2:-1], z[1:-2], z[:-3]])
+            coefficients, *_ = np.linalg.lstsq(x, z[3:], rcond=None)
+            done, recent = list(y), list(z)
+            for step in range(1, 6):
+                recent.append(float(coefficients @ [1.0, *recent[-1:-4:-1]]))
+                done.append(recent[-1] + (done[-season] if season else 0.0))
+                assert got[name, step]["AutoRegression"] == pytest.approx(done[-1], rel=1e-9, abs=1e-4)
+    chosen = {r["unique_id"]: r["order"] for r in fit_autoregression(frame, lags=6, h=1, choose=True).collect()}
+    assert chosen["a"] in (2, 3) and chosen["b"] in (2, 3)
+    assert fit_autoregression(frame.limit(0), lags=3).count() == 0
+
+
+def test_knn_table_equals_array(spark):
+    rng = np.random.default_rng(5)
+    cells = rng.integers(0, 6, (160, 3)).astype(float)
+    cells[rng.random((160, 3)) < 0.2] = np.nan
+    cells[:3] = np.nan
+    rows = [(T0 + timedelta(hours=i), *[None if np.isnan(v) else float(v) for v in r], i) for i, r in enumerate(cells)]
+    frame = spark.createDataFrame(rows, "timestamp timestamp_ntz, a double, b double, c double, i int")
+    array = fit_knn(frame, ("a", "b", "c"), 3)
+    table = fit_knn(frame, ("a", "b", "c"), 3, max_donors=10)
+    assert isinstance(array, KnnImputer) and isinstance(table, KnnTable)
+    table = KnnTable(table.columns, table.donors, table.means, table.k, block=37)
+    want = {r["i"]: r for r in array.transform(frame).collect()}
+    got = table.transform(frame).collect()
+    assert len(got) == 160 and got[0].asDict().keys() == want[0].asDict().keys()
+    for r in got:
+        assert [r["a"], r["b"], r["c"]] == pytest.approx([want[r["i"]][c] for c in "abc"])
+    assert table.transform(frame.limit(0)).count() == 0
+    empty = KnnTable(table.columns, table.donors.limit(0), table.means, 3)
+    assert {r["a"] for r in empty.transform(frame.where("i < 3")).collect()} == {table.means[0]}

@@ -9,7 +9,6 @@ from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import PredictionModel
 from pyspark.ml.functions import array_to_vector
@@ -21,61 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattloom.functions.scaling import MinMax, fit_min_max
+from wattloom.operators.knn import KnnImputer, KnnTable, fit_knn, stored_knn
 from wattloom.operators.timeseries import chronological_split, lag_windows
 from wattloom.schema import FEATURES, TIMESTAMP
 
 
-@dataclass(frozen=True)
-class KnnImputer:
-    """Means of the ``k`` nearest donors, and the column means where no donor has a distance."""
-
-    columns: tuple[str, ...]
-    donors: np.ndarray
-    means: np.ndarray
-    k: int
-
-    def fill(self, rows: np.ndarray) -> np.ndarray:
-        """Distance over the coordinates that both rows have, scaled up by the share they have; ties go to the earlier donor."""
-        out = rows.copy()
-        donors, missing = np.nan_to_num(self.donors), np.isnan(rows)
-        known = (~np.isnan(self.donors)).astype(float)
-        step = max(1, (1 << 22) // max(1, len(donors)))
-        for gaps in np.unique(missing[missing.any(axis=1)], axis=0):  # rows that miss the same columns
-            members = np.flatnonzero((missing == gaps).all(axis=1))
-            for some in (members[i : i + step] for i in range(0, len(members), step)):
-                squares, present = np.zeros((len(some), len(donors))), known[:, ~gaps].sum(axis=1)
-                for c in np.flatnonzero(~gaps):
-                    squares += known[:, c] * (rows[some, c][:, None] - donors[:, c]) ** 2
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    distance = np.sqrt(squares * (rows.shape[1] / present))
-                for c in np.flatnonzero(gaps):
-                    usable = np.flatnonzero((known[:, c] > 0) & (present > 0))
-                    near = usable[np.argsort(distance[:, usable], axis=1, kind="stable")[:, : self.k]]
-                    out[some, c] = donors[near, c].mean(axis=1) if len(usable) else self.means[c]
-        return out
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        columns = list(self.columns)
-
-        def run(frames):
-            for pdf in frames:
-                filled = self.fill(pdf[columns].to_numpy(np.float64, na_value=np.nan))
-                yield pdf.assign(**{c: pd.array(filled[:, i], dtype="float64") for i, c in enumerate(columns)})
-
-        return df.mapInPandas(run, df.schema)
-
-
-def fit_knn(train: DataFrame, columns: Sequence[str] = FEATURES, k: int = 3, max_donors: int = 200_000, ts: str = TIMESTAMP) -> KnnImputer:
-    """Donors are the training rows, in time order; more than ``max_donors`` is an error, as every task gets them."""
-    found = train.select(ts, *columns).orderBy(ts).limit(max_donors + 1).toPandas()
-    if len(found) > max_donors:
-        raise ValueError(f"more than {max_donors} donors")
-    donors = found[list(columns)].to_numpy(np.float64, na_value=np.nan)
-    with np.errstate(invalid="ignore"):
-        means = np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else 0.0 for c in donors.T])
-    return KnnImputer(tuple(columns), donors, means, k)
-
-
 def design(df: DataFrame, columns: Sequence[str] = FEATURES, lookback: int = 36, drop_last: bool = True, ts: str = TIMESTAMP) -> DataFrame:
     """(ts, features vector of lookback * columns numbers, time outside, column inside; y array)."""
     made = lag_windows(df, columns, lookback, 1, drop_last, ts=ts)
@@ -131,7 +80,7 @@ def errors(predicted: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Trained:
-    imputer: KnnImputer
+    imputer: KnnImputer | KnnTable
     scaler: MinMax
     model: MultiOutput
     lookback: int
@@ -182,8 +131,7 @@ class Trained:
         """Everything that scoring needs: the models, the donors, and one JSON line for the rest."""
         for i, m in enumerate(self.model.models):
             m.write().overwrite().save(f"{path}/model_{i:03d}")
-        donors = pd.DataFrame({"i": range(len(self.imputer.donors)), "row": self.imputer.donors.tolist()})
-        spark.createDataFrame(donors, "i long, row array<double>").write.mode("overwrite").parquet(f"{path}/donors")
+        self.imputer.table(spark).write.mode("overwrite").parquet(f"{path}/donors")
         about = {
             "columns": self.model.columns, "kinds": [type(m).__name__ for m in self.model.models], "lookback": self.lookback, "scores": self.scores, "test": self.test,
             "k": self.imputer.k, "means": self.imputer.means.tolist(), "bounds": {c: list(b) for c, b in self.scaler.bounds.items()},
@@ -198,8 +146,7 @@ def load(spark: SparkSession, path: str) -> Trained:
     """What ``Trained.save`` wrote."""
     about = json.loads(spark.read.text(f"{path}/about").first()["value"])
     columns = tuple(about["columns"])
-    rows = [r["row"] for r in spark.read.parquet(f"{path}/donors").orderBy("i").collect()]  # bounded by fit_knn
-    imputer = KnnImputer(columns, np.array(rows, np.float64).reshape(len(rows), len(columns)), np.array(about["means"]), about["k"])
+    imputer = stored_knn(spark.read.parquet(f"{path}/donors"), columns, about["means"], about["k"])
     models = [_KINDS[kind].load(f"{path}/model_{i:03d}") for i, kind in enumerate(about["kinds"])]
     bounds = {c: tuple(b) for c, b in about["bounds"].items()}
     return Trained(imputer, MinMax(bounds), MultiOutput(columns, models), about["lookback"], [tuple(x) for x in about["scores"]], tuple(about["test"]) if about["test"] else None)
@@ -332,30 +279,3 @@ def guided_search(hourly: DataFrame, target: str, space: dict[str, tuple], tries
 
 def _by_time():
     return Window.orderBy(TIMESTAMP)
-
-
-def fit_autoregression(long: DataFrame, lags: int = 24, season: int = 0, h: int = 24) -> DataFrame:
-    """(unique_id, ds, step, AutoRegression): least-squares autoregression per series, on seasonal differences if ``season``.
-
-    One task per series; a series shorter than twice its lags and season repeats its last value.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        y = pdf["y"].to_numpy(float)
-        z = y[season:] - y[:-season] if season else y
-        done = list(y)
-        if len(z) > 2 * lags:
-            x = np.column_stack([np.ones(len(z) - lags), *[z[lags - 1 - k : len(z) - 1 - k] for k in range(lags)]])
-            coefficients, *_ = np.linalg.lstsq(x, z[lags:], rcond=None)
-            recent = list(z)
-            for _ in range(h):
-                step = float(coefficients[0] + coefficients[1:] @ np.array(recent[-1 : -lags - 1 : -1]))
-                recent.append(step)
-                done.append(step + (done[-season] if season else 0.0))
-        else:
-            done += [y[-1]] * h
-        last = pdf["ds"].iloc[-1]
-        return pd.DataFrame({"unique_id": pdf["unique_id"].iloc[0], "ds": [last + pd.Timedelta(hours=i) for i in range(1, h + 1)], "step": range(1, h + 1), "AutoRegression": done[-h:]})
-
-    return long.select("unique_id", "ds", "y").groupBy("unique_id").applyInPandas(run, "unique_id string, ds timestamp_ntz, step int, AutoRegression double")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.operators import ml
+from wattloom.operators.autoregression import fit_autoregression
 from wattloom.operators.timeseries import tolerance_runs
 from wattloom.plans.frames import LONG_SQL, events, hourly, long, rounded
 from wattloom.schema import CONSUMPTION, FEATURES, TIMESTAMP
@@ -65,7 +66,7 @@ def run_length_tolerance(spark, d) -> DataFrame:
 
 
 def autoregression_24h(spark, d) -> DataFrame:
-    return ml.fit_autoregression(long(spark, d), lags=12, season=24)
+    return fit_autoregression(long(spark, d), lags=12, season=24, choose=True)
 
 
 def streaming_hourly_means(spark, d) -> DataFrame:

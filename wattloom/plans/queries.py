@@ -12,7 +12,7 @@ from wattloom.functions.scaling import fit_min_max
 from wattloom.operators import analytics as A
 from wattloom.operators import forecast as FC
 from wattloom.operators import timeseries as TS
-from wattloom.operators.ml import fit_knn
+from wattloom.operators.knn import fit_knn
 from wattloom.operators.quality import ks_statistic, null_profile
 from wattloom.operators.reshape import DAYS, assert_unique, inner_align, melt, pivot_first, pivot_hour_weekday
 from wattloom.plans.frames import (

@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import digest_licenses, scan_licenses
 from .quality_model import fit_quality, score_quality
 from .secret_scan import digest_secrets, scan_secrets
+from .sequence_packing import pack_documents
 from .simhash_dedup import simhash_dedup
 from .source_mix import mix_sources
 from .suffix_dedup import remove_repeats
@@ -59,6 +60,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -69,7 +74,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model]
+    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model, op12_best_fit_packing]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}

@@ -9,6 +9,7 @@ from .byte_bpe import round_trip
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .license_scan import digest_licenses, scan_licenses
+from .merkle_manifest import manifest, tampered_text, verified
 from .quality_model import fit_quality, score_quality
 from .secret_scan import digest_secrets, scan_secrets
 from .sequence_packing import pack_documents
@@ -60,6 +61,10 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(manifest(table(spark, sf_dir, "documents"), tampered_text()))
+
+
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -74,7 +79,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model, op12_best_fit_packing]
+    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model, op11_merkle_manifest, op12_best_fit_packing]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}

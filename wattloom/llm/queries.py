@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
 from .byte_bpe import round_trip
+from .conversation_repair import damage, repair_conversations
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .license_scan import digest_licenses, scan_licenses
@@ -69,6 +70,10 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damage(table(spark, sf_dir, "conversations")))
+
+
 ORACLES: dict[str, str] = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -79,7 +84,7 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict:
-    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model, op11_merkle_manifest, op12_best_fit_packing]
+    found = [op1_secret_scan, op2_source_mix, op3_exact_dedup, op4_license_scan, op5_byte_bpe, op6_suffix_dedup, op7_embedding_dedup, op8_url_filter, op9_simhash_dedup, op10_quality_model, op11_merkle_manifest, op12_best_fit_packing, op13_conversation_repair]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}

@@ -30,80 +30,105 @@ from pyspark.sql import functions as F
 from ._common import Edge, cut, deal, slices
 
 #: Words made of these characters only are in composed form already, and are split as the vocabulary's own rule splits them in lower case.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
-#: Entries that a worker remembers of words and of their parts.
-_MEMORY = 1 << 18
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_PART = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+)"
+#: Words that a worker remembers, in Arrow and numpy arrays of some 50 bytes a word; beyond it, it starts anew.
+_MEMORY = 1 << 20
 
 
 class WordIds:
     """Token ids of texts by a vocabulary that drops white space and never merges across it, so that ids go by words.
 
-    Words are found and numbered by Arrow, a distinct word is encoded once by the tokenizers library and remembered.
+    Arrow finds the words and numbers the distinct ones; those that are known are looked up in one call, and of the
+    others each distinct part is encoded once by the tokenizers library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = _MEMORY):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        chunks = [parts[i : i + 64] for i in range(0, len(parts), 64)]
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
-            found = [[] for _ in chunk]
-            for i, w in zip(got.ids, got.word_ids, strict=True):
-                found[w].append(i)
-            self.parts.update(zip(chunk, found, strict=True))
-
-    def of_words(self, words: list[str]) -> list[list[int]]:
-        if len(self.words) > _MEMORY:
-            self.words.clear()
-        if len(self.parts) > _MEMORY:
-            self.parts.clear()
-        new = [w for w in words if w not in self.words]
-        plain, other, parts = [], [], {}
-        for w in new:
-            if _PLAIN.fullmatch(w) and "<|" not in w:  # the names of special tokens go to the library whole
-                split = _PARTS.findall(w.lower())
-                plain.append((w, split))
-                parts.update((p, None) for p in split if p not in self.parts)
-            else:
-                other.append(w)
-        self._encode_parts(list(parts))
-        for w, split in plain:
-            self.words[w] = self.parts[split[0]] if len(split) == 1 else list(chain.from_iterable(self.parts[p] for p in split))
-        for w, got in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            self.words[w] = got.ids
-        return [self.words[w] for w in words]
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids = np.empty(0, np.uint16)
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _learn(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.known = pa.concat_arrays([self.known, words])
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)])
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, one after another, and how many each has."""
+        counts = self.counts[at]
+        ends = np.cumsum(counts)
+        flat = np.repeat(self.starts[at] - (ends - counts), counts)
+        flat += np.arange(len(flat))
+        return self.ids[flat], counts
+
+    def _find(self, words: pa.Array) -> np.ndarray:
+        """Numbers of known words, -1 of others."""
+        return np.array(pc.fill_null(pc.index_in(words, value_set=self.known), -1), np.int64)
+
+    def _encode_parts(self, parts: pa.Array) -> None:
+        """Makes parts known, each of which the vocabulary's rule leaves whole: many are sent as one text, and told apart by their numbers."""
+        for begin in range(0, len(parts), 1 << 14):
+            block = parts.slice(begin, 1 << 14)
+            words = block.to_pylist()
+            got = self.tokenizer.encode_batch([" ".join(words[i : i + 256]) for i in range(0, len(words), 256)], add_special_tokens=False)
+            counts = [np.bincount(e.word_ids, minlength=min(256, len(words) - 256 * i)) for i, e in enumerate(got)]
+            self._learn(block, np.concatenate([np.array(e.ids, np.uint32) for e in got]), np.concatenate(counts))
+
+    def _encode(self, words: pa.Array) -> np.ndarray:
+        """The numbers of ``words``, distinct and unknown till now."""
+        # the names of special tokens go to the library whole
+        plain = np.asarray(pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))))
+        numbers = np.empty(len(words), np.int64)
+        some = words.filter(pa.array(plain))
+        split = pc.ascii_split_whitespace(pc.utf8_rtrim_whitespace(pc.replace_substring_regex(pc.utf8_lower(some), _PART, "\\1 ")))
+        parts = split.flatten().dictionary_encode()
+        at = self._find(parts.dictionary)
+        new = at < 0
+        at[new] = len(self.known) + np.arange(new.sum())
+        self._encode_parts(parts.dictionary.filter(pa.array(new)))
+        ids, counts = self._gather(at[np.asarray(parts.indices)])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.asarray(split.offsets)]
+        numbers[plain] = len(self.known) + np.arange(len(some))
+        self._learn(some, ids, np.diff(ends))
+        other = words.filter(pa.array(~plain))
+        numbers[~plain] = len(self.known) + np.arange(len(other))
+        for begin in range(0, len(other), 4096):
+            block = other.slice(begin, 4096)
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(block.to_pylist(), add_special_tokens=False)]
+            counts = np.fromiter(map(len, lists), np.int64, len(lists))
+            self._learn(block, np.fromiter(chain.from_iterable(lists), np.uint32, int(counts.sum())), counts)
+        return numbers
 
     def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one after another, and where each text's ids end."""
         split = pc.ascii_split_whitespace(texts)
-        words = split.flatten()
-        ends = np.asarray(split.offsets)[1:] - np.asarray(split.offsets)[0]
-        some = np.ones(len(words), bool) if not len(words) else np.asarray(pc.binary_length(words)) > 0
-        words = words.dictionary_encode()
-        ids = self.of_words(words.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        codes = np.asarray(words.indices)
-        n = sizes[codes] * some
-        word_ends = np.cumsum(n)
-        total = int(word_ends[-1]) if len(n) else 0
-        at = np.repeat((np.cumsum(sizes) - sizes)[codes] - (word_ends - n), n)
-        return flat[at + np.arange(total)], np.concatenate([[0], word_ends])[ends]
+        offsets = np.asarray(split.offsets)
+        words = split.flatten().dictionary_encode()
+        if len(self.known) + len(words.dictionary) > self.memory:
+            self._forget()
+        at = self._find(words.dictionary)
+        new = at < 0
+        if new.any():
+            at[new] = self._encode(words.dictionary.filter(pa.array(new)))
+        ids, counts = self._gather(at[np.asarray(words.indices)])
+        return ids, np.concatenate([[0], np.cumsum(counts)])[offsets[1:] - offsets[0]]
 
 
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def _pieces_of(text: str | None, limit: int) -> list[str]:
+def _runs_of(text: str, limit: int) -> list[str]:
     """``text`` cut at white space into runs of about ``limit`` characters, which have the same ids one after another."""
-    if text is None or len(text) <= limit:
-        return [text or ""]
-    out, start = [], 0
+    gaps, out, start = re.compile(r"[\x20\x09-\x0D]"), [], 0
     while len(text) - start > limit:
-        gap = re.compile(r"[\x20\x09-\x0D]").search(text, start + limit)
+        gap = gaps.search(text, start + limit)
         if gap is None:
             break
         out.append(text[start : gap.start()])
@@ -127,17 +152,12 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None,
         for batch in batches:
             for start, stop in slices(batch, 1, slice_bytes):
                 out: list[list] = [[], [], [], [], [], []]
-                texts, owner = [], []
-                for row, text in enumerate(batch.column(1).slice(start, stop - start).to_pylist()):
-                    cuts = _pieces_of(text, slice_bytes)
-                    texts += cuts
-                    owner += [row] * len(cuts)
-                docs_ids = batch.column(0).slice(start, stop - start).to_pylist()
-                if len(texts) == len(docs_ids):
-                    flat, ends = words.of_texts(pa.array(texts, pa.string()))
+                texts, docs_ids = pc.fill_null(batch.column(1).slice(start, stop - start), ""), batch.column(0).slice(start, stop - start).to_pylist()
+                if stop - start > 1:
+                    flat, ends = words.of_texts(texts)
                     each = np.split(flat, ends[:-1])
-                else:  # one very long text
-                    each = [np.concatenate([words.of_texts(pa.array([t], pa.string()))[0] for t in texts])]
+                else:  # perhaps a very long text
+                    each = [np.concatenate([words.of_texts(pa.array([t], pa.string()))[0] for t in _runs_of(texts[0].as_py(), slice_bytes)])]
                 for doc, ids in zip(docs_ids, each, strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for piece, begin in enumerate(range(0, len(ids), capacity)):

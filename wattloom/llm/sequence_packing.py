@@ -52,25 +52,25 @@ class WordIds:
     def _forget(self) -> None:
         self.known = pa.array([], pa.string())
         self.ids = np.empty(0, np.uint16)
-        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.starts, self.counts = np.empty(0, np.int32), np.empty(0, np.int32)
 
     def _learn(self, words: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         self.known = pa.concat_arrays([self.known, words])
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
+        self.starts = np.concatenate([self.starts, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.counts = np.concatenate([self.counts, counts.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)])
 
     def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known words, one after another, and how many each has."""
         counts = self.counts[at]
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts, dtype=np.int32)  # a slice of text is far below 2^31 ids
         flat = np.repeat(self.starts[at] - (ends - counts), counts)
-        flat += np.arange(len(flat))
+        flat += np.arange(len(flat), dtype=np.int32)
         return self.ids[flat], counts
 
     def _find(self, words: pa.Array) -> np.ndarray:
         """Numbers of known words, -1 of others."""
-        return np.array(pc.fill_null(pc.index_in(words, value_set=self.known), -1), np.int64)
+        return np.array(pc.fill_null(pc.index_in(words, value_set=self.known), -1), np.int32)
 
     def _encode_parts(self, parts: pa.Array) -> None:
         """Makes parts known, each of which the vocabulary's rule leaves whole: many are sent as one text, and told apart by their numbers."""
@@ -136,7 +136,7 @@ def _runs_of(text: str, limit: int) -> list[str]:
     return [*out, text[start:]]
 
 
-def token_pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 8 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None, end_id: int = 1, with_ids: bool = False, slice_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's ids and ``end_id``, cut every ``capacity`` ids.
 
     A null or empty text, or one of white space, has ``end_id`` alone. Texts of any length are read whole, cut at white
@@ -168,6 +168,7 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, path: str | None = None,
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 k = 6 if with_ids else 5
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out[:k], types[:k], strict=True)], names=names[:k])
+                pa.default_memory_pool().release_unused()  # a worker lives on, and its share of an executor is small
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -15,6 +15,7 @@ Texts are read once; what is shuffled is a row of a few numbers for each piece.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -44,6 +45,7 @@ class WordIds:
     """
 
     def __init__(self, path: str, memory: int = _MEMORY):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads would have heaps of their own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattloom.operators import ml
+from wattloom.operators.arima import arima_rolling_origin, auto_arima
 from wattloom.operators.autoregression import fit_autoregression
+from wattloom.operators.forecast import holdout, rolling_origin
+from wattloom.operators.reshape import melt
 from wattloom.operators.timeseries import tolerance_runs
 from wattloom.plans.frames import LONG_SQL, events, hourly, long, rounded
-from wattloom.schema import CONSUMPTION, FEATURES, TIMESTAMP
+from wattloom.schema import CONSUMPTION, FEATURES, SOURCES, TIMESTAMP
 from wattloom.shared import shared_folder
 from wattloom.streaming.hourly import hourly_means
 
@@ -69,6 +72,32 @@ def autoregression_24h(spark, d) -> DataFrame:
     return fit_autoregression(long(spark, d), lags=12, season=24, choose=True)
 
 
+def _balance_series(spark, d) -> DataFrame:
+    """(unique_id, ds, y) of consumption and total production."""
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in SOURCES), F.lit(0.0))
+    return melt(hourly(spark, d).withColumn("production_totale", total), (CONSUMPTION, "production_totale"))
+
+
+def _named(forecasts: DataFrame, name: str) -> DataFrame:
+    order = F.concat_ws(",", "p", "d", "q", "sp", "sd", "sq")
+    return forecasts.select("unique_id", "ds", *[c for c in ("cutoff",) if c in forecasts.columns], "step", F.col("forecast").alias(name), order.alias(f"{name}_order"))
+
+
+def arima_24h(spark, d) -> DataFrame:
+    """The last day of consumption and production, forecast by ARIMA without and with a season of a day, beside its values."""
+    train, test = holdout(_balance_series(spark, d))
+    models = _named(auto_arima(train), "ARIMA").join(_named(auto_arima(train, season=24), "SARIMA"), ["unique_id", "ds", "step"])
+    return models.join(test, ["unique_id", "ds"])
+
+
+def arima_back_test(spark, d) -> DataFrame:
+    """The last 25 days of consumption and production, each forecast by models refitted on all before it, and by the day before."""
+    series = _balance_series(spark, d)
+    keys = ["unique_id", "ds", "cutoff"]
+    models = _named(arima_rolling_origin(series), "ARIMA").join(_named(arima_rolling_origin(series, season=24), "SARIMA"), [*keys, "step"])
+    return models.join(rolling_origin(series).select(*keys, "y", "SeasonalNaive"), keys)
+
+
 def streaming_hourly_means(spark, d) -> DataFrame:
     """The event table as a stream of files, its hourly means as a table (an extension). Each run has a folder of its own."""
     schema = events(spark, d).schema
@@ -86,7 +115,7 @@ def streaming_hourly_means(spark, d) -> DataFrame:
     return rounded(spark.read.parquet(f"{folder}/result"), 6)
 
 
-MODELS = {f.__name__: f for f in (gbt_train_select, one_step_score, recursive_forecast, backtest_24h, model_zoo, grid_search, guided_search, run_length_tolerance, autoregression_24h, streaming_hourly_means)}
+MODELS = {f.__name__: f for f in (gbt_train_select, one_step_score, recursive_forecast, backtest_24h, model_zoo, grid_search, guided_search, run_length_tolerance, autoregression_24h, arima_24h, arima_back_test, streaming_hourly_means)}
 
 MODEL_SQL = {
     "run_length_tolerance": f"""WITH RECURSIVE {LONG_SQL},

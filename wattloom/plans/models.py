@@ -13,7 +13,7 @@ from wattloom.operators.autoregression import fit_autoregression
 from wattloom.operators.forecast import holdout, rolling_origin
 from wattloom.operators.reshape import melt
 from wattloom.operators.timeseries import tolerance_runs
-from wattloom.plans.frames import LONG_SQL, events, hourly, long, rounded
+from wattloom.plans.frames import LONG_SQL, events, hourly, hourly_raw, long, rounded
 from wattloom.schema import CONSUMPTION, FEATURES, SOURCES, TIMESTAMP
 from wattloom.shared import shared_folder
 from wattloom.streaming.hourly import hourly_means
@@ -25,7 +25,7 @@ def _trained(spark, d) -> ml.Trained:
 
 def gbt_train_select(spark, d) -> DataFrame:
     """Validation errors per family, least first (the first is kept)."""
-    trained = ml.train_and_select(hourly(spark, d), ("gbt", "forest"))
+    trained = ml.train_and_select(hourly_raw(spark, d), ("hist", "leafwise"))
     return spark.createDataFrame(sorted(trained.scores, key=lambda s: s[1]), "family string, mae double, mse double")
 
 

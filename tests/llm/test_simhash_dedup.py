@@ -143,3 +143,14 @@ def test_near_copies_of_odd_rows(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in near_copies(df).collect()), key=str)
     assert got == sorted([(4, 2), (2, 2), (2, 2), (None, 2), (None, None), (7, 6), (6, 6), (9, 8), (8, 8)], key=str)
     assert near_copies(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_size(spark):
+    """Ids beyond 2^62, negative ids and rows without one: components are named by the least id, or by none."""
+    base, other = " ".join(f"w{i}" for i in range(300)), "quite another text of a few words"
+    rows = [(2**62 + 5, base), (2**63 - 1, base), (None, base), (-(2**63), other), (2**62, other), (None, "without any id at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for found in (simhash_dedup(df), near_copies(df)):
+        got = [(r["doc_id"], r["component_id"]) for r in found.collect()]
+        assert sorted(r for r in got if r[0] is not None) == [(-(2**63), -(2**63)), (2**62, -(2**63)), (2**62 + 5, 2**62 + 5), (2**63 - 1, 2**62 + 5)]
+        assert sorted((c for i, c in got if i is None), key=str) == [2**62 + 5, None]

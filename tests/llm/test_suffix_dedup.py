@@ -95,3 +95,14 @@ def test_a_merge_scan_tells_rank_and_shared_prefix():
         both = a.merged(rest)
         keys = [both.data[i : i + width].tobytes() for i in both.starts]
         assert keys == sorted(keys) and len(set(keys)) == len(a) + len(rest) and sorted(both.refs) == sorted([*a.refs, *rest.refs])
+
+
+def test_rows_without_an_id_send_their_strips_once(spark):
+    """Many rows of one text give what as many ids give, and no more pieces than one row."""
+    rng = random.Random(8)
+    text = "".join(chr(rng.randrange(97, 123)) for _ in range(3000))
+    rows = [(None, text)] * 300 + [(5, text[500:1700] + "x" * 50)] * 2 + [(6, "alone" * 10)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), width=400).collect()
+    assert len(got) == len(rows)
+    assert all(r["n_removed"] == 3000 for r in got if r["doc_id"] is None)
+    assert [r["n_removed"] for r in got if r["doc_id"] == 5] == [1250, 1250] and [r["n_removed"] for r in got if r["doc_id"] == 6] == [0]

@@ -225,17 +225,27 @@ def simhash_dedup(docs: DataFrame, shingle: int = 4, seed: int = 42, radius: int
 
     Words are runs of bytes other than space and the controls from tab to carriage return, with A-Z lower-cased.
     A null text or one without words has fingerprint zero and links like any other. component_id is the smallest
-    doc_id reachable over links; rows with the same doc_id are one node; rows without an id get the component of the
-    rows they link with, or null. Other columns are not read. An empty table gives no rows.
+    doc_id reachable over links, whatever its size; an id on several texts links nothing by itself; rows without an id get
+    the component of the rows they link with, or null. Texts of any length are read whole. Other columns are not read. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, shingle, seed))
-    # A fingerprint that only rows without an id have gets an own node above all ids.
-    nodes = cut(fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.col("fp"), 2) + F.lit(1 << 62)).alias("node")))
-    parts = connected_components(hamming_links(nodes, radius, n_blocks, run_limit))
-    named = nodes.join(parts, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    return fps.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("c") < F.lit(1 << 62), F.col("c")).alias("component_id")
-    )
+    named = _components(_nodes(fps, ["fp"]), ["fp"], lambda nodes: hamming_links(nodes.select("fp", "node"), radius, n_blocks, run_limit))
+    return fps.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _nodes(prints: DataFrame, keys: list[str]) -> DataFrame:
+    """A node for each print, with a number of its own and the least doc_id that has it (null if no row has an id)."""
+    return cut(prints.groupBy(*keys).agg(F.min("doc_id").alias("least")).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _components(nodes: DataFrame, keys: list[str], links) -> DataFrame:
+    """(keys, component_id): the least doc_id that any node of the component has."""
+    named = nodes.join(connected_components(links(nodes)), "node", "left").select(*keys, "least", F.coalesce("component", "node").alias("c"))
+    named = cut(named)
+    best = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    # a mixed key gives the join exchanges of its own, so that the nodes of a large component can be split
+    mixed = F.col("c").bitwiseXOR(F.lit(0x5BD1E995))
+    return named.select(*keys, mixed.alias("k")).join(best.select(mixed.alias("k"), "component_id"), "k").drop("k")
 
 
 def _lanes(hashes, n_lanes: int) -> list[int]:
@@ -287,7 +297,10 @@ def near_copies(docs: DataFrame, shingle: int = 5, radius: int = 6, far: int = 5
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(texts.mapInArrow(run, "doc_id long" + "".join(f", {c} long" for c in short + long)))
-    nodes = cut(prints.groupBy(*short, *long).agg(F.coalesce(F.min("doc_id"), F.shiftrightunsigned(F.xxhash64(*short, *long), 2) + F.lit(1 << 62)).alias("node")))
-    links = [hamming_links(nodes.select(F.col(f).alias("fp"), "node", *long), radius, None, run_limit, far) for f in short]
-    named = nodes.join(connected_components(spanning_forest(links[0].unionByName(links[1]))), "node", "left").select(*short, *long, F.coalesce("component", "node").alias("c"))
-    return prints.join(named, [*short, *long]).select("doc_id", F.when(F.col("c") < F.lit(1 << 62), F.col("c")).alias("component_id"))
+    nodes = _nodes(prints, [*short, *long])
+
+    def links(nodes: DataFrame) -> DataFrame:
+        found = [hamming_links(nodes.select(F.col(f).alias("fp"), "node", *long), radius, None, run_limit, far) for f in short]
+        return spanning_forest(found[0].unionByName(found[1]))
+
+    return prints.join(_components(nodes, [*short, *long], links), [*short, *long]).select("doc_id", "component_id")

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,6 +130,7 @@ def mix_sources(
     """
     skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), skey.alias("skey"), n_words("text").alias("size"), *([row] if row else [])))
+    sized = _numbered_repeats(sized, docs_per_shard)
     stats = sized.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(stats, weights, share, limit)
 
@@ -140,7 +142,7 @@ def mix_sources(
     sources = cut(quotas.select("skey", "source_size", "target", "quota", F.greatest(shards, F.lit(1)).alias("n_shards"), F.greatest(streams, F.lit(1)).alias("n_streams")))
 
     # One short row per source: broadcast if there are few, else Spark splits the hot source's partition of the join.
-    dealt = sized.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, "skey").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("n_shards")))
+    dealt = sized.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, "skey").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "no"), F.col("n_shards")))
     by_shard = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
     per_source = by_shard.groupBy("skey").agg(
         F.array_sort(F.collect_list(F.struct(F.col("shard").alias("id"), F.col("shard_size").cast("double").alias("weight"), (blocks(F.col("shard_size")) * int(limit)).alias("cap"), F.col("shard_size").alias("size")))).alias("p"),
@@ -164,12 +166,34 @@ def mix_sources(
     taken = F.when(F.col("n") > 0, F.expr("quota div n") * F.col("size") + upto("stop") - upto("(stop - size)")).otherwise(0)
     # Shares of a copy are whole numbers, so their sums don't depend on the order of ties.
     given = placed.withColumn("taken", taken.cast("long")).withColumn("part", F.when(F.col("size") > 0, F.expr(f"taken * {_COPY} div size")).otherwise(F.lit(0)).cast("long"))
-    given = given.withColumn("stream", F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "size"), F.col("n_streams"))).withColumn("begin", F.pmod(F.xxhash64(F.lit(seed + 4), "skey", "stream"), F.lit(_COPY)))
+    given = given.withColumn("stream", F.pmod(F.xxhash64(F.lit(seed + 3), "doc_id", "size", "no"), F.col("n_streams"))).withColumn("begin", F.pmod(F.xxhash64(F.lit(seed + 4), "skey", "stream"), F.lit(_COPY)))
     by_size = Window.partitionBy("skey", "stream").orderBy("size", F.xxhash64(F.lit(seed + 5), "doc_id"), "doc_id", "part").rowsBetween(Window.unboundedPreceding, 0)
     passed = given.withColumn("upto", F.sum("part").over(by_size) + F.col("begin"))
     return passed.select("doc_id", "size", "source_size", "target", "taken", F.expr(f"cast(upto div {_COPY} - (upto - part) div {_COPY} as int)").alias("copies"), *([row] if row else []))
 
 
+def _numbered_repeats(sized: DataFrame, few: int) -> DataFrame:
+    """``sized`` with ``no``, null but for rows that repeat source, doc_id and size more than ``few`` times: they are numbered, in blocks of ``few``.
+
+    A hot group of such rows, say all rows without an id, is so dealt over shards and streams like rows with ids. Rows of a
+    group are alike, so it is all the same which gets which number. The numbers are running counts over range partitions.
+    """
+    same = [F.col("skey"), F.col("doc_id"), F.col("size")]
+    often = cut(sized.groupBy(*same).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("skey", "doc_id", "size"))
+    if often.isEmpty():
+        return sized.withColumn("no", F.lit(None).cast("long"))
+    equal = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("skey", "doc_id", "size")])
+    others = sized.alias("s").join(often.alias("o"), equal("s", "o"), "left_anti").withColumn("no", F.lit(None).cast("long"))
+    hot = sized.alias("s").join(often.alias("o"), equal("s", "o"), "left_semi").withColumn("at", F.monotonically_increasing_id())
+    dealt = cut(hot.repartitionByRange(*same, "at").withColumn("pid", F.spark_partition_id()).drop("at"))
+    inside = Window.partitionBy("pid", *same).orderBy(F.lit(0))
+    per = dealt.groupBy("pid", *same).agg(F.count(F.lit(1)).alias("n"))
+    before = per.withColumn("before", F.sum("n").over(Window.partitionBy(*same).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)))
+    joined = dealt.withColumn("rn", F.row_number().over(inside) - 1).alias("s").join(before.alias("b"), equal("s", "b") & (F.col("s.pid") == F.col("b.pid")))
+    number = F.floor((F.coalesce(F.col("b.before"), F.lit(0)) + F.col("s.rn")) / F.lit(few)).cast("long")
+    return cut(others.unionByName(joined.select(*[f"s.{c}" for c in sized.columns], number.alias("no"))))
+
+
 def apply_mix(docs: DataFrame, mixed: DataFrame, row: str = "doc_id") -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies say, 0 drops it.
 

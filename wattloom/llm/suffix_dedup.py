@@ -326,7 +326,8 @@ def _on(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_spans(
-    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256, 384), longest: int = 1024, batch_bytes: int = 1 << 18, hold: int = 1 << 18, most_strips: int = 1024, most_windows: int = 1 << 18
+    rows: DataFrame, width: int = 400, grams: tuple[int, ...] = (32, 256, 384), longest: int = 1024, batch_bytes: int = 1 << 18, hold: int = 1 << 18, most_strips: int = 1024, most_windows: int = 1 << 18,
+    once: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, th, begin, stop): byte ranges covered by windows that occur elsewhere, overlapping as they come.
 
@@ -334,7 +335,8 @@ def repeated_spans(
     are at most ``width``. A minimizer with more than ``most_strips`` strips or ``most_windows`` windows is left to the
     next gram, which tells strips apart by more bytes, and after the last to grams of ``width`` bytes, whose strips
     are single windows (or periodic text), so that a minimizer has one strip. ``batch_bytes`` is the size of a batch,
-    two million at most, and levels are dropped between minimizers once they hold ``hold`` windows.
+    two million at most, and levels are dropped between minimizers once they hold ``hold`` windows. ``once`` has every
+    text of ``rows`` once, if ``rows`` may repeat some.
     """
     gram, finer = grams[0], grams[1:] or ((width,) if grams[0] < width else ())
 
@@ -360,7 +362,7 @@ def repeated_spans(
     per = texts.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("windows"))
     wide = ((F.col("k") > most_strips) | (F.col("windows") > most_windows)) & F.lit(bool(finer))
     chosen = _on(texts, per.select("h", wide.alias("wide")), "h").where("r = 0 or not wide")
-    pieces = rows.select("doc_id", "th", F.col("text").alias("raw")).join(chosen, ["doc_id", "th"])
+    pieces = (rows if once is None else once).select("doc_id", "th", F.col("text").alias("raw")).join(chosen, ["doc_id", "th"])
     told = F.when(F.col("wide"), F.least("c", F.lit(2))).otherwise(F.col("alone")).cast("long")
     pieces = pieces.select("h", "d", "r", told.alias("c"), "n", F.expr(f"substring(raw, s + 1, n + {width - 1})").alias("piece"), "wide")
     dealt = pieces.repartition(F.when(F.col("wide"), F.col("d")).otherwise(F.col("h"))).sortWithinPartitions("wide", "h")
@@ -386,7 +388,9 @@ def remove_repeats(docs: DataFrame, width: int = 400, with_text: bool = True, **
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     texts = rows.select("doc_id", "th", F.lit(1).alias("c"), F.col("text").cast("binary").alias("text"))
-    spans = repeated_spans(texts, width, **settings).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
+    # rows that repeat an id and text, or have none, send their strips once
+    once = texts.dropDuplicates(["doc_id", "th"])
+    spans = repeated_spans(texts, width, once=once, **settings).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
 
     def run(batches):
         for batch in batches:

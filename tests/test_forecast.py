@@ -1,3 +1,4 @@
+import math
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -191,3 +192,17 @@ def test_knn_table_equals_array(spark):
     assert table.transform(frame.limit(0)).count() == 0
     empty = KnnTable(table.columns, table.donors.limit(0), table.means, 3)
     assert {r["a"] for r in empty.transform(frame.where("i < 3")).collect()} == {table.means[0]}
+
+
+def test_own_families_train_save_and_load(spark, tmp_path):
+    """Gaps are left to the imputer that the training fits; the library's own trees come back from a folder as they were."""
+    rows = spark.createDataFrame([(T0 + timedelta(hours=i), None if i % 13 == 0 else float(i % 24), float(i % 12)) for i in range(200)], "timestamp timestamp_ntz, p double, c double")
+    params = {"hist": {"trees": 3}, "leafwise": {"trees": 2, "leaves": 5}, "extra": {"trees": 4, "depth": 4}}
+    for family in params:
+        trained = ml.train_and_select(rows, (family,), ("p", "c"), lookback=12, params=params)
+        assert math.isfinite(trained.scores[0][1]) and trained.scores[0][0] == family
+        path = str(tmp_path / family)
+        trained.save(spark, path)
+        again = ml.load(spark, path)
+        assert [tuple(r) for r in again.forecast(rows, 2).orderBy("step").collect()] == [tuple(r) for r in trained.forecast(rows, 2).orderBy("step").collect()]
+        assert trained.score(rows).count() > 150

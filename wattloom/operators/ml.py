@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from wattloom.functions.scaling import MinMax, fit_min_max
 from wattloom.operators.boosting import Boost, Boosted, fit_boosted
+from wattloom.operators.extra_trees import Extra, ExtraTrees, fit_extra
 from wattloom.operators.knn import KnnImputer, KnnTable, fit_knn, stored_knn
 from wattloom.operators.timeseries import chronological_split, lag_windows
 from wattloom.schema import FEATURES, TIMESTAMP
@@ -44,6 +45,10 @@ FAMILIES: dict[str, Callable] = {
 BOOSTED = {"hist": Boost(trees=20, depth=4, bins=32, rate=0.2), "leafwise": Boost(trees=20, leaves=15, bins=32, rate=0.2, top=0.2, rest=0.2)}
 
 
+EXTRA = {"extra": Extra(trees=50, depth=8)}
+Own = Boosted | ExtraTrees
+
+
 @dataclass
 class MultiOutput:
     """One model per target column over the same features."""
@@ -68,9 +73,11 @@ def at_once(work: Callable, items: Sequence, threads: int = 6) -> list:
         return pool.map(inheritable_thread_target(SparkSession.active())(work), items, chunksize=1)
 
 
-def fit_multi(train: DataFrame, columns: Sequence[str], family: str = "gbt", **params) -> MultiOutput | Boosted:
+def fit_multi(train: DataFrame, columns: Sequence[str], family: str = "gbt", **params) -> MultiOutput | Own:
     if family in BOOSTED:
         return fit_boosted(train, columns, replace(BOOSTED[family], **params))
+    if family in EXTRA:
+        return fit_extra(train, columns, replace(EXTRA[family], **params))
 
     def fit(i):
         return FAMILIES[family](**params).setLabelCol("label").setFeaturesCol("features").fit(train.select("features", F.col("y")[i].alias("label")))
@@ -90,7 +97,7 @@ def errors(predicted: DataFrame, columns: Sequence[str]) -> DataFrame:
 class Trained:
     imputer: KnnImputer | KnnTable
     scaler: MinMax
-    model: MultiOutput | Boosted
+    model: MultiOutput | Own
     lookback: int
     scores: list[tuple[str, float, float]]
     test: tuple[float, float] | None = None
@@ -137,13 +144,13 @@ class Trained:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Everything that scoring needs: the models, the donors, and one JSON line for the rest."""
-        own = isinstance(self.model, Boosted)
+        own = isinstance(self.model, Own)
         models = [] if own else self.model.models
         for i, m in enumerate(models):
             m.write().overwrite().save(f"{path}/model_{i:03d}")
         self.imputer.table(spark).write.mode("overwrite").parquet(f"{path}/donors")
         about = {
-            "columns": self.model.columns, "kinds": [type(m).__name__ for m in models], "boosted": self.model.dumps() if own else None, "lookback": self.lookback, "scores": self.scores, "test": self.test,
+            "columns": self.model.columns, "kinds": [type(m).__name__ for m in models], "own": [type(self.model).__name__, self.model.dumps()] if own else None, "lookback": self.lookback, "scores": self.scores, "test": self.test,
             "k": self.imputer.k, "means": self.imputer.means.tolist(), "bounds": {c: list(b) for c, b in self.scaler.bounds.items()},
         }
         spark.createDataFrame([(json.dumps(about),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
@@ -159,7 +166,7 @@ def load(spark: SparkSession, path: str) -> Trained:
     imputer = stored_knn(spark.read.parquet(f"{path}/donors"), columns, about["means"], about["k"])
     models = [_KINDS[kind].load(f"{path}/model_{i:03d}") for i, kind in enumerate(about["kinds"])]
     bounds = {c: tuple(b) for c, b in about["bounds"].items()}
-    model = Boosted.loads(about["boosted"]) if about.get("boosted") else MultiOutput(columns, models)
+    model = {"Boosted": Boosted, "ExtraTrees": ExtraTrees}[about["own"][0]].loads(about["own"][1]) if about.get("own") else MultiOutput(columns, models)
     return Trained(imputer, MinMax(bounds), model, about["lookback"], [tuple(x) for x in about["scores"]], tuple(about["test"]) if about["test"] else None)
 
 

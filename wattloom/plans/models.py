@@ -20,7 +20,7 @@ from wattloom.streaming.hourly import hourly_means
 
 
 def _trained(spark, d) -> ml.Trained:
-    return ml.train_and_select(hourly(spark, d), ("linear", "tree"))
+    return ml.train_and_select(hourly_raw(spark, d), ("linear", "tree", "extra"))
 
 
 def gbt_train_select(spark, d) -> DataFrame:
@@ -30,22 +30,22 @@ def gbt_train_select(spark, d) -> DataFrame:
 
 
 def one_step_score(spark, d) -> DataFrame:
-    done = _trained(spark, d).score(hourly(spark, d))
+    done = _trained(spark, d).score(hourly_raw(spark, d))
     return done.select(TIMESTAMP, *[F.col("prediction")[i].alias(c) for i, c in enumerate(FEATURES)])
 
 
 def recursive_forecast(spark, d) -> DataFrame:
-    return _trained(spark, d).forecast(hourly(spark, d), 24)
+    return _trained(spark, d).forecast(hourly_raw(spark, d), 24)
 
 
 def backtest_24h(spark, d) -> DataFrame:
     """Errors per column of a recursive forecast of the last day."""
     gap = F.col("actual") - F.col("forecast")
-    return _trained(spark, d).backtest(hourly(spark, d), 24).groupBy("column").agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"))
+    return _trained(spark, d).backtest(hourly_raw(spark, d), 24).groupBy("column").agg(F.avg(F.abs(gap)).alias("mae"), F.avg(gap * gap).alias("mse"))
 
 
 def model_zoo(spark, d) -> DataFrame:
-    trained = ml.train_and_select(hourly(spark, d), ("tree", "forest", "gbt", "linear"))
+    trained = ml.train_and_select(hourly_raw(spark, d), ("tree", "extra", "gbt", "hist", "leafwise", "linear"))
     return spark.createDataFrame(sorted(trained.scores, key=lambda s: s[1]), "family string, mae double, mse double")
 
 
@@ -104,15 +104,17 @@ def streaming_hourly_means(spark, d) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d) if not d.endswith("events.parquet") else spark.readStream.schema(schema).parquet(d)
     folder = f"{shared_folder(spark)}/hourly-means-{uuid.uuid4().hex}"
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/result")
+    def store(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/result/{number:09d}")
 
-    run = hourly_means(stream, ["event_type"]).writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    # only hours that changed are sent, and closed ones leave the state; of an hour the newest batch counts
+    run = hourly_means(stream, ["event_type"]).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return rounded(spark.read.parquet(f"{folder}/result"), 6)
+    newest = spark.read.parquet(f"{folder}/result/*").groupBy(TIMESTAMP, "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("mean_value", "batch").alias("mean_value"))
+    return rounded(newest, 6)
 
 
 MODELS = {f.__name__: f for f in (gbt_train_select, one_step_score, recursive_forecast, backtest_24h, model_zoo, grid_search, guided_search, run_length_tolerance, autoregression_24h, arima_24h, arima_back_test, streaming_hourly_means)}

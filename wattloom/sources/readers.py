@@ -57,6 +57,16 @@ def parse_consumption(raw: DataFrame, column: str = "value", name: str = "consom
     return rows.where("start_date <> ''").select(utc("start_date").alias(TIMESTAMP), F.col("value").alias(name))
 
 
+WEATHER_JSON = "data array<struct<time string, temp double, rhum double, prcp double, wspd double, pres double>>"
+
+
+def parse_weather(raw: DataFrame, variable: str = "temp", column: str = "value") -> DataFrame:
+    """(timestamp, variable) of hourly weather answers, whose times are UTC; the last answer that has an hour counts."""
+    doc = raw.select(F.from_json(column, WEATHER_JSON).alias("j"), F.monotonically_increasing_id().alias("at")).where("j.data IS NOT NULL")
+    rows = doc.select("at", F.inline("j.data")).where("time IS NOT NULL").select("at", F.col("time").try_cast("timestamp_ntz").alias(TIMESTAMP), F.col(variable).alias("v"))
+    return rows.where(F.col(TIMESTAMP).isNotNull()).groupBy(TIMESTAMP).agg(F.max_by("v", "at").alias(variable))
+
+
 def write_store(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The feature store: Parquet by year and month, so that time ranges prune folders."""
     df.withColumn("year", F.year(TIMESTAMP)).withColumn("month", F.month(TIMESTAMP)).write.mode(mode).partitionBy("year", "month").parquet(path)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators.quantiles import known, same_keys, selected
 from wattloom.operators.timeseries import trunc
 from wattloom.schema import CONSUMPTION, SOURCES, TEMPERATURE, TIMESTAMP
 
@@ -62,28 +63,14 @@ def daily_mean(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP) -> Da
     return df.groupBy(trunc("day", ts).alias("day")).agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def box_statistics(df: DataFrame, value: str, by: Sequence[str], method: str = "linear") -> DataFrame:
-    """Quartiles, whiskers (the outmost values within 1.5 interquartile ranges) and outliers per group, in one grouping and one join.
+def box_statistics(df: DataFrame, value: str, by: Sequence[str], method: str = "linear", task_rows: int = 1 << 20) -> DataFrame:
+    """Quartiles, whiskers (the outmost values within 1.5 interquartile ranges) and outliers per group; a group may have any size (``exact_quantiles``).
 
-    ``method``: "linear" puts quantile p at (n - 1) p, "hazen" at n p - 1/2. Exact quantiles keep the distinct values of a
-    group on one task: give it an hourly frame, or groups of a size that a task holds.
+    ``method``: "linear" puts quantile p at (n - 1) p, "hazen" at n p - 1/2. Nulls and NaNs are left out.
     """
-    rows = df.where(F.col(value).isNotNull())
-    if method == "linear":
-        quartiles = rows.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(q) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
-    elif method == "hazen":
-        ranked = rows.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-
-        def at(p: float) -> Column:
-            place = F.greatest(F.lit(1.0), F.least(F.col("__n").cast("double"), F.col("__n") * p + 0.5))
-            low = F.max(F.when(F.col("__i") == F.floor(place), F.col(value)))
-            high = F.max(F.when(F.col("__i") == F.ceil(place), F.col(value)))
-            return low + (high - low) * F.max(place - F.floor(place))
-
-        quartiles = ranked.groupBy(*by).agg(at(0.25).alias("q1"), at(0.5).alias("median"), at(0.75).alias("q3"))
-    else:
-        raise ValueError("method is 'linear' or 'hazen'")
-    joined = rows.select(*by, F.col(value).alias("__v")).join(quartiles, list(by))
+    rows = known(df, value, by)
+    quartiles = selected(rows, list(by), {"q1": 0.25, "median": 0.5, "q3": 0.75}, method, task_rows).drop("n")
+    joined = same_keys(rows, quartiles, by)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("__v") >= F.col("q1") - reach) & (F.col("__v") <= F.col("q3") + reach)
     return joined.groupBy(*by, "q1", "median", "q3").agg(
@@ -113,13 +100,18 @@ def ols(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, n, mean, std, std_pop, min, q1, median, q3, max), exact, one grouping over the long form; a column's distinct values are held by one task."""
+def describe(df: DataFrame, columns: Sequence[str], task_rows: int = 1 << 20) -> DataFrame:
+    """(column, n, mean, std, std_pop, min, q1, median, q3, max), exact, over the long form; a column may have any size (``exact_quantiles``).
+
+    NaNs are left out like nulls; a column without values has n 0 and nulls.
+    """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    return long.groupBy("column").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.stddev_pop("v").alias("std_pop"), F.min("v").alias("min"),
-        F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.5)).alias("median"), F.percentile("v", F.lit(0.75)).alias("q3"), F.max("v").alias("max"),
-    )
+    rows = known(long, "v", ["column"])
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    sums = rows.groupBy("column").agg(F.count("__v").alias("n"), F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("std"), F.stddev_pop("__v").alias("std_pop"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+    quartiles = selected(rows, ["column"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, "linear", task_rows).drop("n")
+    made = names.join(sums, "column", "left").join(quartiles, "column", "left")
+    return made.select("column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "std_pop", "min", "q1", "median", "q3", "max")
 
 
 def axis_range(frames: Sequence[tuple[DataFrame, str]], padding: float = 0.1) -> DataFrame:

@@ -1,7 +1,7 @@
 """Ordered operators on time series.
 
 Every operator takes ``by``: the columns of a series. Without it the frame is one series and its windows need one
-task, which suits an hourly frame (8,760 rows a year) and nothing larger; raw facts are aggregated or keyed first.
+task, which suits an hourly frame (8,760 rows a year); longer series take the operators of ``ranged``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattloom.operators.quantiles import same_keys
 from wattloom.schema import TIMESTAMP
 
 
@@ -38,6 +39,12 @@ def reindex(df: DataFrame, grid: DataFrame, ts: str = TIMESTAMP, by: Sequence[st
     return grid.join(df, [*by, ts], "left")
 
 
+def between(c: str, p: Column, n: Column, rn: Column, both: bool) -> Column:
+    """Column ``c`` of row ``rn``, or what lies there between the nearest known values ``p`` and ``n``, structs of value v and number i."""
+    line = p["v"] + (n["v"] - p["v"]) * (rn - p["i"]) / (n["i"] - p["i"])
+    return F.coalesce(F.col(c), F.when(p.isNull(), n["v"] if both else F.lit(None)).when(n.isNull(), p["v"]).otherwise(line))
+
+
 def interpolate(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP, both: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Linear by row position; after the last value it is kept, and with ``both`` also carried back before the first."""
     order = Window.partitionBy(*by).orderBy(ts)
@@ -46,13 +53,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP, both
     seen = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__rn").alias("i")))
     for c in columns:
         known = known.withColumn(f"__p_{c}", F.last(seen(c), True).over(back)).withColumn(f"__n_{c}", F.first(seen(c), True).over(ahead))
-
-    def filled(c: str) -> Column:
-        p, n = F.col(f"__p_{c}"), F.col(f"__n_{c}")
-        between = p["v"] + (n["v"] - p["v"]) * (F.col("__rn") - p["i"]) / (n["i"] - p["i"])
-        return F.coalesce(F.col(c), F.when(p.isNull(), n["v"] if both else F.lit(None)).when(n.isNull(), p["v"]).otherwise(between)).alias(c)
-
-    return known.select(*[filled(c) if c in columns else F.col(c) for c in df.columns])
+    return known.select(*[between(c, F.col(f"__p_{c}"), F.col(f"__n_{c}"), F.col("__rn"), both).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def first_per_time(df: DataFrame, order: Sequence[str], ts: str = TIMESTAMP, by: Sequence[str] = ()) -> DataFrame:
@@ -76,34 +77,47 @@ def lag_windows(df: DataFrame, columns: Sequence[str], lookback: int = 36, horiz
     return wide.where((F.col("__rn") > lookback) & (F.col("__rn") <= F.col("__n") - horizon + (0 if drop_last else 1))).drop("__rn", "__n")
 
 
+def split_part(rn: Column, n: Column, test: float, valid: float) -> Column:
+    """The part that row ``rn`` of ``n`` belongs to; shares round up."""
+    share = lambda s, m: F.ceil(F.round(F.lit(s) * m, 9))
+    train = n - share(test, n)
+    return F.when(rn > train, "test").when(rn > train - share(valid, train), "valid").otherwise("train")
+
+
 def chronological_split(df: DataFrame, test: float = 0.2, valid: float = 0.1, ts: str = TIMESTAMP, by: Sequence[str] = ()) -> DataFrame:
     """Adds ``split``: the last rows are the test part, the last of the others the validation part; shares round up."""
     order, whole = Window.partitionBy(*by).orderBy(ts), Window.partitionBy(*by)
-    share = lambda s, n: F.ceil(F.round(F.lit(s) * n, 9))
     ranked = df.withColumn("__rn", F.row_number().over(order)).withColumn("__n", F.count(F.lit(1)).over(whole))
-    ranked = ranked.withColumn("__train", F.col("__n") - share(test, F.col("__n")))
-    part = F.when(F.col("__rn") > F.col("__train"), "test").when(F.col("__rn") > F.col("__train") - share(valid, F.col("__train")), "valid").otherwise("train")
-    return ranked.withColumn("split", part).drop("__rn", "__n", "__train")
+    return ranked.withColumn("split", split_part(F.col("__rn"), F.col("__n"), test, valid)).drop("__rn", "__n")
 
 
-def seasonal_decompose(df: DataFrame, value: str, period: int = 24, ts: str = TIMESTAMP, by: Sequence[str] = ()) -> DataFrame:
-    """Additive: (ts, observed, trend, seasonal, resid). The trend is a centred mean of one period (half weights at both
-    ends if it is even), null where the frame is not whole; a series of less than two periods is an error in the phase
-    means and gives nulls."""
-    order = Window.partitionBy(*by).orderBy(ts)
+def centred_mean(value: str, period: int, order) -> Column:
+    """Mean of one period around a row, half weights at both ends if it is even; null where the frame is not whole."""
     half = period // 2
     frame = order.rowsBetween(-half, half)
     ends = F.first(value).over(frame) + F.last(value).over(frame)
     total = F.sum(value).over(frame)
     trend = (total - 0.5 * ends) / period if period % 2 == 0 else total / period
-    full = df.withColumn("__rn", F.row_number().over(order)).withColumn("trend", F.when(F.count(value).over(frame) == 2 * half + 1, trend))
-    full = full.withColumn("__phase", (F.col("__rn") - 1) % period)
+    return F.when(F.count(value).over(frame) == 2 * half + 1, trend)
+
+
+def with_seasons(full: DataFrame, value: str, ts: str, by: Sequence[str]) -> DataFrame:
+    """(by, ts, observed, trend, seasonal, resid) from rows with ``trend`` and ``__phase``."""
     means = full.groupBy(*by, "__phase").agg(F.avg(F.col(value) - F.col("trend")).alias("__m"))
     centred = means.withColumn("seasonal", F.col("__m") - F.avg("__m").over(Window.partitionBy(*by))).drop("__m")
-    joined = full.join(centred, [*by, "__phase"], "left")
+    joined = same_keys(full, centred, [*by, "__phase"])
     return joined.select(*by, ts, F.col(value).alias("observed"), "trend", "seasonal", (F.col(value) - F.col("trend") - F.col("seasonal")).alias("resid"))
 
 
+def seasonal_decompose(df: DataFrame, value: str, period: int = 24, ts: str = TIMESTAMP, by: Sequence[str] = ()) -> DataFrame:
+    """Additive: (ts, observed, trend, seasonal, resid). The trend is a centred mean of one period (half weights at both
+    ends if it is even), null where the frame is not whole; a series of less than two periods is an error in the phase
+    means and gives nulls."""
+    order = Window.partitionBy(*by).orderBy(ts)
+    full = df.withColumn("__rn", F.row_number().over(order)).withColumn("trend", centred_mean(value, period, order))
+    return with_seasons(full.withColumn("__phase", (F.col("__rn") - 1) % period), value, ts, by)
+
+
 def date_chunks(spark: SparkSession, start: str, end: str, days: int = 180) -> DataFrame:
     """(chunk_start, chunk_end): steps of ``days`` days from ``start``; the last one ends at ``end``."""
     steps = spark.range(1).select(F.expr(f"timestamp_ntz'{start}'").alias("a"), F.expr(f"timestamp_ntz'{end}'").alias("b"))

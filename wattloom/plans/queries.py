@@ -11,6 +11,7 @@ from wattloom.functions.metrics import by_source, evaluate_long, mean_by_metric,
 from wattloom.functions.scaling import fit_min_max
 from wattloom.operators import analytics as A
 from wattloom.operators import forecast as FC
+from wattloom.operators import ranged as R
 from wattloom.operators import timeseries as TS
 from wattloom.operators.knn import fit_knn
 from wattloom.operators.quality import ks_statistic, null_profile
@@ -202,6 +203,21 @@ def box_source_by_month(spark, d) -> DataFrame:
     return _box(shipped.select(F.col("l_returnflag").alias("g1"), F.month(TIMESTAMP).alias("g2"), "y"), "y", ["g1", "g2"], 4)
 
 
+_HAZEN = ", ".join(
+    f"max(v) FILTER (i = floor({at})) + (max(v) FILTER (i = ceil({at})) - max(v) FILTER (i = floor({at}))) * any_value({at} - floor({at})) AS {name}"
+    for name, at in ((name, f"greatest(0, least(n - 1, n * {p} - 0.5))") for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)))
+)
+_OUT = "q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)"
+
+
+@query(f"""WITH v AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+ q AS (SELECT event_type, {_HAZEN} FROM v GROUP BY event_type)
+ SELECT event_type, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, round(min(v) FILTER (v BETWEEN {_OUT}), 9) AS whisker_low, round(max(v) FILTER (v BETWEEN {_OUT}), 9) AS whisker_high,
+ count(*) FILTER (NOT v BETWEEN {_OUT}) AS outliers, count(*) AS n FROM v JOIN q USING (event_type) GROUP BY ALL""")
+def box_by_event_type_hazen(spark, d) -> DataFrame:
+    return rounded(A.box_statistics(events(spark, d), "value", ["event_type"], "hazen"))
+
+
 _MEANS = H_SQL + ", M AS (" + " UNION ALL ".join(f"SELECT '{c}' AS source, avg({c}) AS mean_value FROM H" for c in SOURCES) + ")"
 
 
@@ -354,6 +370,37 @@ def interpolate_forward(spark, d) -> DataFrame:
     return rounded(TS.interpolate(hourly_raw(spark, d), FEATURES, both=False))
 
 
+# --- every event as a row of one long series, dealt in ranges ----------------------------------------------------------
+
+_ONE = "O AS (SELECT event_id, value, CASE WHEN event_type = 'click' THEN value END AS click, row_number() OVER (ORDER BY ts, event_id) AS timestamp FROM events)"
+
+
+def _one_series(spark, d) -> DataFrame:
+    return events(spark, d).select("event_id", "value", F.when(F.col("event_type") == "click", F.col("value")).alias("click"), F.struct("ts", "event_id").alias(TIMESTAMP))
+
+
+@query(f"WITH {_ONE}, K AS ({interpolate_sql('O', ('click',), keep='event_id')}) SELECT event_id, round(click, 9) AS click FROM K")
+def interpolate_event_series(spark, d) -> DataFrame:
+    return rounded(R.interpolate(_one_series(spark, d), ["click"]).select("event_id", "click"))
+
+
+@query("""WITH r AS (SELECT event_id, value, row_number() OVER w AS rn, count(*) OVER () AS n, list(value) OVER (w ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING) AS x, list(value) OVER (w ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING) AS y
+ FROM events WINDOW w AS (ORDER BY ts, event_id)) SELECT event_id, round(list_sum(x), 6) AS sum_before, round(x[1], 9) AS first_before, round(list_sum(y), 6) AS sum_after FROM r
+ WHERE rn > 48 AND rn <= n - 12""")
+def lag_windows_event_series(spark, d) -> DataFrame:
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, r: a + r[0]), 6)
+    made = R.lag_windows(_one_series(spark, d), ["value"], 48, 12)
+    return made.select(F.col(f"{TIMESTAMP}.event_id").alias("event_id"), total("x").alias("sum_before"), F.round(F.col("x")[0][0], 9).alias("first_before"), total("y").alias("sum_after"))
+
+
+@query("""WITH t AS (SELECT event_id, value AS observed, row_number() OVER o AS rn, CASE WHEN count(value) OVER w = 25 THEN (sum(value) OVER w - 0.5 * (first_value(value) OVER w + last_value(value) OVER w)) / 24 END AS trend
+ FROM events WINDOW o AS (ORDER BY ts, event_id), w AS (ORDER BY ts, event_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
+ p AS (SELECT (rn - 1) % 24 AS phase, avg(observed - trend) AS m FROM t GROUP BY 1), q AS (SELECT phase, m - (SELECT avg(m) FROM p) AS seasonal FROM p)
+ SELECT event_id, round(trend, 8) AS trend, round(seasonal, 8) AS seasonal, round(observed - trend - seasonal, 8) AS resid FROM t JOIN q ON (rn - 1) % 24 = phase""")
+def seasonal_decompose_event_series(spark, d) -> DataFrame:
+    return rounded(R.seasonal_decompose(_one_series(spark, d), "value", 24).select(F.col(f"{TIMESTAMP}.event_id").alias("event_id"), "trend", "seasonal", "resid"), 8)
+
+
 @query(f"""WITH {RAW_SQL}, r AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) AS rn, count(*) OVER () AS n FROM raw), t AS (SELECT *, n - ceil(round(0.2 * n, 9)) AS train FROM r)
  SELECT timestamp, CASE WHEN rn > train THEN 'test' WHEN rn > train - ceil(round(0.1 * train, 9)) THEN 'valid' ELSE 'train' END AS split FROM t""")
 def chronological_split(spark, d) -> DataFrame:

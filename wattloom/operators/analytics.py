@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattloom.operators.quantiles import known, same_keys, selected
-from wattloom.operators.timeseries import trunc
+from wattloom.operators.timeseries import tail, trunc
 from wattloom.schema import CONSUMPTION, SOURCES, TEMPERATURE, TIMESTAMP
 
 
@@ -114,10 +114,19 @@ def describe(df: DataFrame, columns: Sequence[str], task_rows: int = 1 << 20) ->
     return made.select("column", F.coalesce("n", F.lit(0)).alias("n"), "mean", "std", "std_pop", "min", "q1", "median", "q3", "max")
 
 
+def tail_deviation(df: DataFrame, columns: Sequence[str], rows: int = 168, ts: str = TIMESTAMP) -> DataFrame:
+    """(column, n, std): sample standard deviation of each column over the last ``rows`` rows in time, nulls left out."""
+    wide = tail(df, rows, ts).agg(*[F.struct(F.count(c).alias("n"), F.stddev_samp(c).alias("std")).alias(c) for c in columns])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c)["n"].alias("n"), F.col(c)["std"].alias("std")) for c in columns])))
+
+
 def axis_range(frames: Sequence[tuple[DataFrame, str]], padding: float = 0.1) -> DataFrame:
-    """Least and largest value over several frames, both moved out by a share of their distance, and a symmetric bound."""
-    all_values = reduce(lambda a, b: a.unionByName(b), [df.select(F.col(c).alias("v")) for df, c in frames])
-    found = all_values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    """Least and largest value over several frames, both moved out by a share of their distance, and a symmetric bound. Columns of one frame share a pass."""
+    columns: dict[int, tuple[DataFrame, list[str]]] = {}
+    for df, c in frames:
+        columns.setdefault(id(df), (df, []))[1].append(c)
+    ends = [df.agg(F.array_min(F.array(*[F.min(c) for c in cs])).alias("lo"), F.array_max(F.array(*[F.max(c) for c in cs])).alias("hi")) for df, cs in columns.values()]
+    found = reduce(lambda a, b: a.unionByName(b), ends).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     pad = (F.col("hi") - F.col("lo")) * padding
     return found.select((F.col("lo") - pad).alias("axis_low"), (F.col("hi") + pad).alias("axis_high"), (F.greatest(F.abs("lo"), F.abs("hi")) * (1 + padding)).alias("axis_symmetric"))
 

@@ -45,6 +45,18 @@ def between(c: str, p: Column, n: Column, rn: Column, both: bool) -> Column:
     return F.coalesce(F.col(c), F.when(p.isNull(), n["v"] if both else F.lit(None)).when(n.isNull(), p["v"]).otherwise(line))
 
 
+def fill_units(df: DataFrame, ts: str = TIMESTAMP, unit: str = "hour", by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with a row of nulls for every ``unit`` that a series lacks between its first and last; one pass, where ``spine`` and a join read ``df`` twice.
+
+    ``df`` has one row per unit at most; rows without a time go.
+    """
+    step = F.expr(f"interval 1 {unit}")
+    following = F.lead(ts).over(Window.partitionBy(*by).orderBy(ts))
+    every = df.withColumn("__t", F.sequence(F.col(ts), F.coalesce(following - step, F.col(ts)), step)).withColumn("__t", F.explode("__t"))
+    own = F.col("__t") == F.col(ts)
+    return every.select(*[F.col("__t").alias(c) if c == ts else F.col(c) if c in by else F.when(own, F.col(c)).alias(c) for c in df.columns])
+
+
 def interpolate(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP, both: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Linear by row position; after the last value it is kept, and with ``both`` also carried back before the first."""
     order = Window.partitionBy(*by).orderBy(ts)

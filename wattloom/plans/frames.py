@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattloom.operators.reshape import melt
-from wattloom.operators.timeseries import interpolate, reindex, spine, trunc
+from wattloom.operators.timeseries import fill_units, interpolate, trunc
 from wattloom.schema import CONSUMPTION, FEATURES, SOURCES, TEMPERATURE, TIMESTAMP
 
 #: Event type that stands for each series.
@@ -29,7 +29,7 @@ def hourly_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.from_json("props", "k double")["k"]
     rows = events(spark, sf_dir).select(trunc("hour", "ts").alias(TIMESTAMP), "event_type", "value", k.alias("k"))
     means = rows.groupBy(TIMESTAMP).agg(*[F.avg(F.when(F.col("event_type") == t, F.col("value"))).alias(c) for c, t in SERIES.items()], F.avg("k").alias(TEMPERATURE))
-    return reindex(means, spine(means)).select(TIMESTAMP, *FEATURES)
+    return fill_units(means).select(TIMESTAMP, *FEATURES)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,9 +52,11 @@ def tail_36_features(spark, d) -> DataFrame:
 
 @query("SELECT date_trunc('second', ts) AS timestamp, event_type AS production_type, value FROM events")
 def json_extract_union(spark, d) -> DataFrame:
-    rows = events(spark, d).select("event_type", TS.trunc("day", "ts").alias("day"), F.struct(F.concat(F.date_format(F.expr("ts + interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("start_date"), F.col("value")).alias("v"))
-    series = rows.groupBy("day", "event_type").agg(F.collect_list("v").alias("values"))
-    docs = series.groupBy("day").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_type").alias("production_type"), "values")).alias("actual_generations_per_production_type"))).alias("value"))
+    # a document holds 1,000 events at most
+    part = F.floor(F.monotonically_increasing_id() / 1000).alias("part")
+    rows = events(spark, d).select("event_type", part, F.struct(F.concat(F.date_format(F.expr("ts + interval 2 hours"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("start_date"), F.col("value")).alias("v"))
+    series = rows.groupBy("part", "event_type").agg(F.collect_list("v").alias("values"))
+    docs = series.groupBy("part").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_type").alias("production_type"), "values")).alias("actual_generations_per_production_type"))).alias("value"))
     return parse_generation(docs)
 
 
@@ -273,6 +275,14 @@ def describe_exact(spark, d) -> DataFrame:
     return rounded(A.describe(hourly(spark, d), FEATURES), 8)
 
 
+_WEEK = "T AS (SELECT * FROM H ORDER BY timestamp DESC LIMIT 168)"
+
+
+@query(f"WITH {H_SQL}, {_WEEK} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, round(stddev_samp({c}), 8) AS std FROM T" for c in FEATURES))
+def tail_deviation_168(spark, d) -> DataFrame:
+    return rounded(A.tail_deviation(hourly(spark, d), FEATURES, 168), 8)
+
+
 _LAG = LONG_SQL + ", F AS (SELECT unique_id AS source, y, lag(y, 24) OVER (PARTITION BY unique_id ORDER BY ds) AS forecast FROM L)"
 
 
@@ -407,6 +417,13 @@ def chronological_split(spark, d) -> DataFrame:
     return TS.chronological_split(hourly_raw(spark, d).select(TIMESTAMP))
 
 
+@query(f"""WITH {_WINDOWS}, w AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) AS k, count(*) OVER () AS m FROM r WHERE rn > 36 AND rn <= n - 1), t AS (SELECT *, m - ceil(round(0.2 * m, 9)) AS train FROM w)
+ SELECT timestamp, CASE WHEN k > train THEN 'test' WHEN k > train - ceil(round(0.1 * train, 9)) THEN 'valid' ELSE 'train' END AS split, 36 AS lookback FROM t""")
+def chronological_split_windows(spark, d) -> DataFrame:
+    made = TS.lag_windows(hourly(spark, d), FEATURES, 36, 1)
+    return TS.chronological_split(made).select(TIMESTAMP, "split", F.size("x").alias("lookback"))
+
+
 @query("SELECT timestamp, event_id, value FROM (SELECT date_trunc('hour', ts) AS timestamp, event_id, value, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")
 def dedup_first_sorted(spark, d) -> DataFrame:
     rows = events(spark, d).withColumn(TIMESTAMP, TS.trunc("hour", "ts"))

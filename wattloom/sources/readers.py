@@ -6,8 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wattloom.schema import CONSUMPTION_JSON, GENERATION_JSON, TIMESTAMP
+from wattloom.operators.quality import validation_gate
+from wattloom.schema import CONSUMPTION_JSON, GENERATION_JSON, TIMESTAMP, missing_columns
 
 SEPARATORS = (";", "\t", "|", ",")
 
@@ -81,6 +83,47 @@ def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "ov
     df.write.mode(mode).partitionBy(split).parquet(path)
 
 
+def write_validated(base: DataFrame, current: DataFrame, path: str, schema: T.StructType, mode: str = "overwrite", **limits) -> tuple[DataFrame, bool]:
+    """The result of ``validation_gate``; frames that have the columns are written, those of ``schema`` in its order, to valid/ or invalid/ and train/ or test/ below ``path``.
+
+    Frames without the columns leave nothing, and the folder of the other outcome stays as it was.
+    """
+    report, passed = validation_gate(base, current, schema, **limits)
+    if not any(missing_columns(df, schema.names) for df in (base, current)):
+        for name, df in (("train", base), ("test", current)):
+            df.select(*schema.names).write.mode(mode).parquet(f"{path}/{'valid' if passed else 'invalid'}/{name}")
+    return report, passed
+
+
+def write_windows(windows: DataFrame, path: str, ts: str = TIMESTAMP, mode: str = "overwrite") -> None:
+    """Windows (ts, x, y) as Parquet arrays in ranges of time, so that a reader gets a span of time from few files."""
+    windows.repartitionByRange(ts).sortWithinPartitions(ts).write.mode(mode).parquet(path)
+
+
+def read_windows(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, ts: str = TIMESTAMP) -> DataFrame:
+    """Windows from ``start`` on and before ``end``; both bounds reach the scan."""
+    made = spark.read.parquet(path)
+    for bound, keep in ((start, lambda t, b: t >= b), (end, lambda t, b: t < b)):
+        if bound is not None:
+            made = made.where(keep(F.col(ts), F.lit(bound).cast("timestamp_ntz")))
+    return made
+
+
+def timed_records(spark: SparkSession, rows: list[Mapping], ts: str = TIMESTAMP, columns: list[str] | None = None) -> DataFrame:
+    """Records of a request or a browser's store, each a mapping with a time as text, as (ts, double columns).
+
+    Times with an offset become UTC (the session zone must be UTC), others are taken as they are; records whose time can't be read, or is missing, go. ``columns``
+    are those of all records, in the order they come, unless they are given; what a record lacks is null.
+    """
+    names = columns or list(dict.fromkeys(c for r in rows for c in r if c != ts))
+    values = [(None if r.get(ts) is None else str(r[ts]), *(None if r.get(c) is None else float(r[c]) for c in names)) for r in rows]
+    raw = spark.createDataFrame(values, ", ".join(["__t string", *(f"`{c}` double" for c in names)]))
+    text = F.regexp_replace("__t", " ", "T")
+    offset = F.col("__t").rlike(r"(Z|[+-]\d\d:?\d\d)$")
+    time = F.when(offset, text.try_cast("timestamp").cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
+    return raw.select(time.alias(ts), *[F.col(f"`{c}`") for c in names]).where(F.col(ts).isNotNull())
+
+
 def records(spark: SparkSession, rows: list, columns: list[str], types: Mapping[str, str] | None = None) -> DataFrame:
     """Rows of a request (lists of numbers, oldest first) as a frame with a ``step`` column."""
     types = dict(types or {})

@@ -53,10 +53,12 @@ def interpolate(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP, both
     """``timeseries.interpolate``; a gap may span any number of ranges."""
     known = numbered(df, ts, by, columns)
     order = Window.partitionBy("__range", *by).orderBy(ts)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    back = order.rowsBetween(Window.unboundedPreceding, 0)
+    # the same frame from the other end: one up to the last row would start anew at every row
+    ahead = Window.partitionBy("__range", *by).orderBy(F.col("__rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
     seen = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("__rn").alias("i"), F.col(c).alias("v")))
     near = {f"__p_{c}": F.coalesce(F.last(seen(c), True).over(back), F.col(f"__before_{c}")) for c in columns}
-    near |= {f"__q_{c}": F.coalesce(F.first(seen(c), True).over(ahead), F.col(f"__after_{c}")) for c in columns}
+    near |= {f"__q_{c}": F.coalesce(F.last(seen(c), True).over(ahead), F.col(f"__after_{c}")) for c in columns}
     known = known.withColumns(near)
     return known.select(*[TS.between(c, F.col(f"__p_{c}"), F.col(f"__q_{c}"), F.col("__rn"), both).alias(c) if c in columns else F.col(c) for c in df.columns])
 

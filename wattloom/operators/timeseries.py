@@ -60,11 +60,13 @@ def fill_units(df: DataFrame, ts: str = TIMESTAMP, unit: str = "hour", by: Seque
 def interpolate(df: DataFrame, columns: Sequence[str], ts: str = TIMESTAMP, both: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """Linear by row position; after the last value it is kept, and with ``both`` also carried back before the first."""
     order = Window.partitionBy(*by).orderBy(ts)
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    back = order.rowsBetween(Window.unboundedPreceding, 0)
+    # the same frame from the other end: one up to the last row would start anew at every row
+    ahead = Window.partitionBy(*by).orderBy(F.col("__rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
     known = df.withColumn("__rn", F.row_number().over(order))
     seen = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("__rn").alias("i")))
     for c in columns:
-        known = known.withColumn(f"__p_{c}", F.last(seen(c), True).over(back)).withColumn(f"__n_{c}", F.first(seen(c), True).over(ahead))
+        known = known.withColumn(f"__p_{c}", F.last(seen(c), True).over(back)).withColumn(f"__n_{c}", F.last(seen(c), True).over(ahead))
     return known.select(*[between(c, F.col(f"__p_{c}"), F.col(f"__n_{c}"), F.col("__rn"), both).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from wattloom.llm import suffix_dedup as S
+from wattloom.llm.suffix_dedup import remove_repeats
 
 
 def brute(texts, width):
